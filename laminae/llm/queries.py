@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, hilbert, mixing, winnowing
+from . import chunk_dedup, hilbert, mixing, near_dedup, winnowing
 from .durable import durable
 from .tables import table
 
@@ -40,6 +40,11 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 2-word shingles have similarity 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     out = winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -54,5 +59,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hilbert_shards, op2_chunk_recipe_dedup, op3_systematic_mix, op10_winnowing)
+    f.__name__: f for f in (op1_hilbert_shards, op2_chunk_recipe_dedup, op3_systematic_mix, op8_fast_sketch_near_dedup, op10_winnowing)
 }
