@@ -1,5 +1,58 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express.
+
+The others (a Hilbert order, fixed-point prefix sums over hashed ties, trained models, components)
+are tested against brute force, by law or by held-out accuracy in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import licences
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LIST = "[" + ", ".join(map(_quoted, licences.catalogue())) + "]"
+_NAMES = "[" + ", ".join(map(_quoted, licences.catalogue().values())) + "]"
+_HELD = ", ".join(
+    f"CASE WHEN regexp_matches(line, {_quoted(licences.ordered_pattern(ids))}) THEN {_quoted(name)} END"
+    for name, ids in licences.expanded(licences.RULES, licences.catalogue())
+)
+
+ORACLES: dict[str, str] = {
+    "op2_chunk_recipe_dedup": r"""
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op5_licence_rules": rf"""
+        WITH s AS (
+            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{licences.BOUNDARY}'),
+                lambda x: trim(regexp_replace(x, '{licences.NOT_WORD}', ' ', 'g'), ' ')), lambda x: list_contains({_LIST}, x)) AS found
+            FROM documents),
+        n AS (SELECT doc_id, list_transform(found, lambda x: {_NAMES}[list_position({_LIST}, x)]) AS ids FROM s),
+        l AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS line FROM n)
+        SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+               coalesce(array_to_string(list_sort(list_distinct(list_filter([{_HELD}], lambda x: x IS NOT NULL))), ','), '') AS licences
+        FROM l""",
+    "op10_winnowing": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (
+            SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS gram
+            FROM (SELECT item_id, words, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS gram
+               FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, sizes WHERE len(words) >= n)),
+        hits AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, gram)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}

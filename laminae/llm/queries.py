@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, hilbert, mixing, near_dedup, winnowing
+from . import chunk_dedup, hilbert, licences, mixing, near_dedup, quality, secrets, winnowing
 from .durable import durable
 from .tables import table
 
@@ -40,6 +40,38 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns, and long tokens that look random."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    out = secrets.secret_spans(table(spark, sf_dir, "documents"), model)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == secrets.KINDS.index(kind))).cast("long")
+    return out.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
+def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of every document, in order, and the licences whose rules they meet."""
+    out = licences.licence_matches(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+    )
+
+
+def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    rows = durable(quality.measured(table(spark, sf_dir, "documents")))
+    return quality.scored(rows, quality.learn(rows, table(spark, sf_dir, "labels")))
+
+
 def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 2-word shingles have similarity 0.8 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -59,5 +91,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hilbert_shards, op2_chunk_recipe_dedup, op3_systematic_mix, op8_fast_sketch_near_dedup, op10_winnowing)
+    f.__name__: f
+    for f in (
+        op1_hilbert_shards,
+        op2_chunk_recipe_dedup,
+        op3_systematic_mix,
+        op4_markov_secrets,
+        op5_licence_rules,
+        op6_quadratic_quality,
+        op8_fast_sketch_near_dedup,
+        op10_winnowing,
+    )
 }
