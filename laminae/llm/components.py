@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
-from .lookup import lookup
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,21 +16,22 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour, or to the node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return lookup(both.filter("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = lookup(edges, least, ["u"], "v").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    tied = edges.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
     return tied.select("e.u", "e.v").filter("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) for the nodes of ``a, b``; loops are ignored.
 
-    Each step keeps one row an edge at most and is written out; a node with a third of all edges is
-    summed in each task first and its neighbours are dealt over many tasks.
+    A step keeps two rows an edge at most and is written out. A node with a third of all edges is
+    summed in each task first; in the join that follows, adaptive execution splits its partition.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges = durable(edges)

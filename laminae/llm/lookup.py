@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .durable import durable
 
-#: Rows of up to about 100 bytes that may be broadcast: some 20 MB.
-BROADCAST_ROWS = 200_000
+#: Rows of up to about 100 bytes that may be broadcast: some 2 MB.
+BROADCAST_ROWS = 20_000
 SALTS = 32
 
 
@@ -19,13 +19,14 @@ def lookup(left: DataFrame, table: DataFrame, on: list[str], spread: str, limit:
 
     The table is computed once and counted: up to ``limit`` rows it is broadcast. Beyond that each
     of its rows is copied to ``SALTS`` salts and ``left`` is dealt by key and ``hash(spread)``, so a
-    key with a third of all rows still reaches ``SALTS`` tasks.
+    key with a third of all rows still reaches ``SALTS`` tasks. A limit of 0, for rows of unbounded
+    width, goes to the salts without a count.
     """
-    table = durable(table)
+    table = durable(table) if limit else table
     names = {c: f"__k{i}" for i, c in enumerate(on)}
     table = table.select(*(F.col(c).alias(n) for c, n in names.items()), *(c for c in table.columns if c not in names))
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
-    if table.count() <= limit:
+    if limit and table.count() <= limit:
         joined = left.join(F.broadcast(table), reduce(lambda a, b: a & b, same), "left")
     else:
         left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))

@@ -135,7 +135,7 @@ def _attach(pairs: DataFrame, sets: DataFrame, end: str, columns: dict[str, str]
     """Join the columns of node ``end`` to pairs; a node in many pairs is copied, one for each 1000 pairs."""
     copies = pairs.groupBy(F.col(end).alias("__node")).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("__copies"))
     other = "b" if end == "a" else "a"
-    pairs = lookup(pairs, copies.withColumnRenamed("__node", end), [end], other)
+    pairs = pairs.join(copies.withColumnRenamed("__node", end), end)
     pairs = pairs.withColumn("__copy", F.pmod(F.xxhash64(other), F.col("__copies")).cast("int")).drop("__copies")
     sets = sets.select(F.col("node").alias("__node"), *(F.col(c).alias(to) for c, to in columns.items())).join(copies, "__node")
     sets = sets.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
@@ -158,13 +158,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that share a bucket, not a component, and that sizes and odd sketches do not rule out."""
-    rows = lookup(members, labels.withColumnRenamed("component", "label"), ["node"], "band").withColumn("label", F.coalesce("label", "node"))
+    # A node has a row a band at most, so its key is never hot; a hot bucket's partition is split by adaptive execution.
+    rows = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.filter("lo <> hi and m > 2").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = lookup(rows, mixed, ["band"], "node").filter("blocks is not null")
-    rows = durable(rows)
+    rows = durable(rows.join(mixed, "band"))
     wide = sets.select("node", "n", "parity", "keys").join(rows.select("node").distinct(), "node", "left_semi")
-    # A node has a row a band at most, so this key is never hot.
     rows = rows.join(wide.dropDuplicates(["node"]), "node")
     left = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -191,7 +190,7 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("node", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("__last")).filter("hub <> __last").drop("__last")
-    members = durable(lookup(rows, hubs, ["band"], "node").filter("hub is not null"))
+    members = durable(rows.join(hubs, "band"))  # adaptive execution splits the partition of a hot bucket
     known = members.select("node").distinct()
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(
@@ -222,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.count("*").alias("size"))
     # Only classes of several documents, or linked with others, have anything to look up.
-    classes = lookup(classes, linked, ["node"], "hi").filter("size > 1 or component is not null")
+    classes = classes.join(linked, "node", "left").filter("size > 1 or component is not null")
     classes = classes.select("lo", "hi", F.coalesce("component", "node").alias("component"))
     out = lookup(signatures.drop("bands"), classes, ["lo", "hi"], "doc_id")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
