@@ -142,7 +142,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     lists = verified_lists(durable(chunk_recipes(docs)))
     key = ["ids", "text_sha256"]
     groups = lists.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    out = lookup(lists, groups, key, "doc_id")
+    out = lookup(lists, groups, key, "doc_id", limit=0)  # a long document's list is long
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
