@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, hilbert, licences, mixing, near_dedup, quality, secrets, winnowing
+from . import chunk_dedup, hilbert, language, licences, mixing, near_dedup, quality, secrets, url_tree, winnowing
 from .durable import durable
 from .tables import table
 
@@ -72,11 +72,22 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(rows, quality.learn(rows, table(spark, sf_dir, "labels")))
 
 
+def op7_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    return url_tree.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 2-word shingles have similarity 0.8 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_marginal_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs, language.learn(docs))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     out = winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,7 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_markov_secrets,
         op5_licence_rules,
         op6_quadratic_quality,
+        op7_url_template_tree,
         op8_fast_sketch_near_dedup,
+        op9_marginal_unigram_language,
         op10_winnowing,
     )
 }
