@@ -14,7 +14,8 @@ with nothing. Two documents are linked when 100 * intersection >= percent * unio
    into blocks over many tasks. Members of one component are never compared again.
 4. What passes is confirmed on the full sets, in both 2 and 3.
 
-Rows of equal texts are one class, so copies are never expanded to pairs. Rows that repeat a doc_id
+Rows of equal texts are one class, so copies are never expanded to pairs. Rows equal in doc_id and
+text stay or go together. Rows that repeat a doc_id
 are one node with several sets. A null doc_id takes part and is never a component's name unless no
 other is there (then null). Only doc_id and text are read.
 """
@@ -74,8 +75,8 @@ def _signatures(k: int):
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), bands],
-                names=["doc_id", "n_shingles", "lo", "hi", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), bands],
+                names=["doc_id", "key", "n_shingles", "lo", "hi", "bands"],
             )
 
     return run
@@ -208,15 +209,20 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
     return components(edges.unionByName(more))
 
 
+def row_key() -> Column:
+    """A long by which a row of documents is found again: rows equal in doc_id and text share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, key (row_key), n_shingles, component_id, kept`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks that document. The
     sketches make a link of similarity ``percent`` / 100 a candidate but for a chance of
     (1 - s**6)**48.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = durable(narrow.mapInArrow(_signatures(k), "doc_id long, n_shingles long, lo long, hi long, bands array<long>"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
+    signatures = durable(narrow.mapInArrow(_signatures(k), "doc_id long, key long, n_shingles long, lo long, hi long, bands array<long>"))
     linked = durable(links(docs, signatures, k, percent))
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.count("*").alias("size"))
@@ -226,4 +232,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = lookup(signatures.drop("bands"), classes, ["lo", "hi"], "doc_id")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     component = F.when(component < NAMELESS, component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -79,7 +79,7 @@ def op7_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 2-word shingles have similarity 0.8 or more."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("key")
 
 
 def op9_marginal_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
