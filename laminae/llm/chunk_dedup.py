@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arrow import arrow_map
 from .durable import durable
 from .kernels import SPACED, random_words, text_slices
 from .lookup import lookup
@@ -104,7 +105,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk_recipes(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_bytes, text_sha256`` (of the squeezed text) and ``chunks``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_recipes, _RECIPE_DDL)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), _recipes, _RECIPE_DDL)
 
 
 def chunk_table(recipes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import compact
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     summed in each task first; in the join that follows, adaptive execution splits its partition.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges = durable(edges)
+    edges, _ = compact(edges)
     state = _state(edges)
     while True:
-        edges = durable(_small_star(durable(_large_star(edges))))
+        edges, _ = compact(_small_star(compact(_large_star(edges))[0]))
         was, state = state, _state(edges)
         if was == state:
             break

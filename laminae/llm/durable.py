@@ -28,6 +28,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows that are worth a task of their own, and tasks that are always allowed.
+ROWS_A_TASK, LEAST_TASKS = 50_000, 8
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """``durable`` for narrow rows, and their number: few rows are read by few tasks afterwards.
+
+    A shuffle leaves files for each task that feeds it, so hundreds of nearly empty tasks in each of
+    many small steps cost more disk than the rows.
+    """
+    df = durable(df)
+    rows = df.count()
+    return df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK))), rows
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it: for wide rows."""
     spark = df.sparkSession

@@ -77,27 +77,30 @@ def hilbert_shards(df: DataFrame, dimensions: dict[str, Column], tie: list[Colum
     )
     cuts = _quantiles(rows, names, 1 << bits)
 
+    def place(tie: pd.Series, values: tuple[pd.Series, ...]) -> np.ndarray:
+        axes = np.stack([np.searchsorted(c, v.to_numpy(), side="right") for c, v in zip(cuts, values, strict=True)], axis=1)
+        return (hilbert_index(axes, bits) << (63 - CURVE_BITS)) | tie.to_numpy()
+
     @F.pandas_udf("long")
     def order(tie: pd.Series, *values: pd.Series) -> pd.Series:
-        axes = np.stack([np.searchsorted(c, v.to_numpy(), side="right") for c, v in zip(cuts, values, strict=True)], axis=1)
-        return pd.Series((hilbert_index(axes, bits) << (63 - CURVE_BITS)) | tie.to_numpy())
+        return pd.Series(place(tie, values))
 
-    keyed = rows.withColumn("__key", order("__tie", *names)).drop("__tie", *names)
-    (edges,) = _quantiles(keyed, ["__key"], parts)
+    (edges,) = _quantiles(rows.select(order("__tie", *names).alias("__key")), ["__key"], parts)
 
-    @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32))
+    @F.pandas_udf("key long, part int")
+    def dealt(tie: pd.Series, *values: pd.Series) -> pd.DataFrame:
+        key = place(tie, values)
+        return pd.DataFrame({"key": key, "part": np.searchsorted(edges, key, side="right").astype(np.int32)})
 
-    keyed = keyed.withColumn("__part", part("__key"))
+    keyed = rows.withColumn("__at", dealt("__tie", *names)).select("__row", F.col("__at.key").alias("__key"), F.col("__at.part").alias("__part"))
     counts = dict(keyed.groupBy("__part").count().collect())
     total, before, starts = sum(counts.values()), 0, []
     for p in range(len(edges) + 1):
         starts.append((p, before))
         before += counts.get(p, 0)
-    offsets = spark.createDataFrame(starts, "__at int, __before long")
+    offsets = spark.createDataFrame(starts, "__of int, __before long")
     inside = Window.partitionBy("__part").orderBy("__key", F.xxhash64("__row"))
-    ranked = keyed.withColumn("__n", F.row_number().over(inside)).join(F.broadcast(offsets), F.col("__part") == F.col("__at"))
+    ranked = keyed.withColumn("__n", F.row_number().over(inside)).join(F.broadcast(offsets), F.col("__part") == F.col("__of"))
     rank = F.col("__before") + F.col("__n") - 1
     shard = F.expr(f"int((__rank * {n_shards}) div {max(total, 1)})")
     return (

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
-_BLOCK = 1 << 22
+SLICE = 1 << 18
+_BLOCK = 1 << 20
 _U = np.uint64
 
 

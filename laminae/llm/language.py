@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import arrow_map
 from .durable import durable
 from .kernels import LOWER, byte_class, hash_spans, mix64, random_words, text_slices, word_spans
 
@@ -36,17 +37,34 @@ SMOOTHING = 0.02
 
 LETTERS = byte_class(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _BYTES, _STEP = random_words(256, 21), np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 20
+_SLOTS = 19
 
 
-@dataclass(frozen=True)
 class Pieces:
-    """A vocabulary as two hash tables of (key, number); a second place serves the few keys whose first is taken."""
+    """A vocabulary as two hash tables of (key, number); a second place serves the few keys whose first is taken.
+
+    What is pickled, and so goes to the tasks, are the keys: 8 bytes a piece.
+    """
 
-    keys: tuple[np.ndarray, np.ndarray]
-    numbers: tuple[np.ndarray, np.ndarray]
-    again: np.uint64
-    count: int
+    def __init__(self, keys: np.ndarray) -> None:
+        self.chosen, self.count = keys, len(keys)
+        slot = keys >> np.uint64(64 - _SLOTS)
+        _, first = np.unique(slot, return_index=True)
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        for again in random_words(4000, 22) | np.uint64(1):
+            second = (keys[rest] * again) >> np.uint64(64 - _SLOTS)
+            if len(np.unique(second)) == len(rest):
+                break
+        else:
+            raise ValueError("some pieces have no second place")
+        self.again = again
+        self.keys = [np.zeros(1 << _SLOTS, np.uint64) for _ in range(2)]
+        self.numbers = [np.zeros(1 << _SLOTS, np.int32) for _ in range(2)]
+        for table, numbers, at, which in zip(self.keys, self.numbers, (slot[first], second), (first, rest), strict=True):
+            table[at], numbers[at] = keys[which], which
+
+    def __reduce__(self):
+        return Pieces, (self.chosen,)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's piece, or ``count``."""
@@ -71,19 +89,7 @@ def vocabulary(path: str = VOCABULARY) -> Pieces:
         pieces = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
     usable = lambda p: 0 < len(p) <= LONGEST and all(LETTERS[b] and not 65 <= b <= 90 for b in p.removeprefix(b" "))
     chosen = sorted({p for p in pieces if usable(p)} | {bytes([b]) for b in range(256)})
-    keys = np.array([_key(p) for p in chosen], np.uint64)
-    tables = [np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.uint64)]
-    numbers = [np.zeros(1 << _SLOTS, np.int32), np.zeros(1 << _SLOTS, np.int32)]
-    slot = keys >> np.uint64(64 - _SLOTS)
-    _, first = np.unique(slot, return_index=True)
-    tables[0][slot[first]], numbers[0][slot[first]] = keys[first], first
-    rest = np.setdiff1d(np.arange(len(keys)), first)
-    for again in random_words(1000, 22) | np.uint64(1):
-        slot = (keys[rest] * again) >> np.uint64(64 - _SLOTS)
-        if len(np.unique(slot)) == len(rest):
-            tables[1][slot], numbers[1][slot] = keys[rest], rest
-            return Pieces(tuple(tables), tuple(numbers), again, len(chosen))
-    raise ValueError(f"no second place for the pieces of {path}")
+    return Pieces(np.array([_key(p) for p in chosen], np.uint64))
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -250,13 +256,13 @@ def learn(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGU
     for language in languages:
         share = F.when(F.col("lang") == language, F.lit(per_language / counts[language])).otherwise(share)
     chosen = taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    words = chosen.select("text", "lang").mapInArrow(_word_counts(languages), "language int, word binary, n long")
+    words = arrow_map(chosen.select("text", "lang"), _word_counts(languages), "language int, word binary, n long")
     words = durable(words.groupBy("language", "word").agg(F.sum("n").alias("n")))
     pieces = vocabulary(path)
     p = np.full((pieces.count + 1, len(languages)), 1 / pieces.count)
     p[-1] = 0
     for _ in range(ROUNDS):
-        found = words.mapInArrow(_expected(pieces, p), "piece int, language int, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        found = arrow_map(words, _expected(pieces, p), "piece int, language int, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
         p = np.full_like(p, SMOOTHING)
         p[found["piece"].to_numpy(), found["language"].to_numpy()] += np.round(found["n"].to_numpy(), 6)
         p[-1] = 0
@@ -285,7 +291,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                     score = np.where(letters, s.max(axis=1) / s.sum(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return arrow_map(rows, run, f"{schema}, lang_pred string, score double")
 
 
 __all__ = ["Model", "learn", "predicted", "vocabulary"]

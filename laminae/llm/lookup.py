@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import compact
 
 #: Rows of up to about 100 bytes that may be broadcast: some 2 MB.
 BROADCAST_ROWS = 20_000
@@ -22,11 +22,11 @@ def lookup(left: DataFrame, table: DataFrame, on: list[str], spread: str, limit:
     key with a third of all rows still reaches ``SALTS`` tasks. A limit of 0, for rows of unbounded
     width, goes to the salts without a count.
     """
-    table = durable(table) if limit else table
+    table, rows = compact(table) if limit else (table, 0)
     names = {c: f"__k{i}" for i, c in enumerate(on)}
     table = table.select(*(F.col(c).alias(n) for c, n in names.items()), *(c for c in table.columns if c not in names))
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
-    if limit and table.count() <= limit:
+    if limit and rows <= limit:
         joined = left.join(F.broadcast(table), reduce(lambda a, b: a & b, same), "left")
     else:
         left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))

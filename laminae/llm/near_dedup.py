@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
+from .arrow import arrow_map
 from .components import components
-from .durable import durable
+from .durable import compact, durable
 from .kernels import LOWER, SPACED, gram_hashes, hash_spans, text_slices, word_spans
 from .lookup import lookup
 from .sketch import BANDS, band_keys, common, fast_sketch, parity_sketch
@@ -136,7 +137,7 @@ def _attach(pairs: DataFrame, sets: DataFrame, end: str, columns: dict[str, str]
     """Join the columns of node ``end`` to pairs; a node in many pairs is copied, one for each 1000 pairs."""
     copies = pairs.groupBy(F.col(end).alias("__node")).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("__copies"))
     other = "b" if end == "a" else "a"
-    pairs = pairs.join(copies.withColumnRenamed("__node", end), end)
+    pairs = lookup(pairs, copies.withColumnRenamed("__node", end), [end], other, limit=0)
     pairs = pairs.withColumn("__copy", F.pmod(F.xxhash64(other), F.col("__copies")).cast("int")).drop("__copies")
     sets = sets.select(F.col("node").alias("__node"), *(F.col(c).alias(to) for c, to in columns.items())).join(copies, "__node")
     sets = sets.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
@@ -148,13 +149,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are linked."""
     # The odd sketches go first: they are 256 bytes, a set is 8 for each shingle.
     for end in "ab":
-        pairs = _attach(pairs, sets, end, {"n": f"n{end}", "parity": f"p{end}"})
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
     pairs = pairs.filter(_size_ok(F.col("na"), F.col("nb"), percent) & _parity_ok("pa", "pb", F.col("na") + F.col("nb"), percent)).select("a", "b")
-    pairs = durable(pairs.distinct())
+    pairs, _ = compact(pairs.distinct())
     full = pairs
     for end in "ab":
         full = _attach(full, sets, end, {"members": f"m{end}"})
-    return full.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), "a long, b long").distinct()
+    return arrow_map(full.select("a", "b", "ma", "mb"), _confirm(percent), "a long, b long").distinct()
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,18 +193,18 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
     rows = classes.select("node", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("__last")).filter("hub <> __last").drop("__last")
     members = durable(rows.join(hubs, "band"))  # adaptive execution splits the partition of a hot bucket
-    known = members.select("node").distinct()
+    known, n_known = compact(members.select("node").distinct())
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(
-        sets.mapInArrow(
-            _candidate_sets(k, bitmap.build(known, F.col("node"), known.count())), "node long, n long, parity array<long>, keys array<int>, members binary"
+        arrow_map(
+            sets, _candidate_sets(k, bitmap.build(known, F.col("node"), n_known)), "node long, n long, parity array<long>, keys array<int>, members binary"
         )
     )
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    edges = durable(confirmed(durable(stars), sets, percent))
-    labels = durable(components(edges))
-    rest = durable(_open_pairs(members.drop("hub"), labels, sets, percent))
-    if rest.isEmpty():
+    edges, _ = compact(confirmed(compact(stars)[0], sets, percent))
+    labels, _ = compact(components(edges))
+    rest, n_rest = compact(_open_pairs(members.drop("hub"), labels, sets, percent))
+    if not n_rest:
         return labels
     more = confirmed(rest, sets, percent)
     return components(edges.unionByName(more))
@@ -222,8 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     (1 - s**6)**48.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
-    signatures = durable(narrow.mapInArrow(_signatures(k), "doc_id long, key long, n_shingles long, lo long, hi long, bands array<long>"))
-    linked = durable(links(docs, signatures, k, percent))
+    signatures = durable(arrow_map(narrow, _signatures(k), "doc_id long, key long, n_shingles long, lo long, hi long, bands array<long>"))
+    linked, _ = compact(links(docs, signatures, k, percent))
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.count("*").alias("size"))
     # Only classes of several documents, or linked with others, have anything to look up.

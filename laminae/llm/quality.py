@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import arrow_map
 from .kernels import SPACED, hash_spans, text_slices, word_spans
 
 #: Classes of bytes that are counted.
@@ -89,7 +90,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, x``: the transformed statistics of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, "doc_id long, x array<double>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _measured, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def fit(labelled: DataFrame) -> Discriminant:
     """Fit to rows ``label`` (0 or 1) and ``x``; the driver receives 196 sums a class."""
     side = 1 + N_STATISTICS
     total = np.zeros((2, side * side))
-    sums = labelled.select(F.col("label").cast("int"), "x").mapInArrow(_sums, "label int, k int, value double")
+    sums = arrow_map(labelled.select(F.col("label").cast("int"), "x"), _sums, "label int, k int, value double")
     for label, k, value in sums.groupBy("label", "k").agg(F.sum("value")).collect():
         total[label, k] = value
     total = total.reshape(2, side, side)
@@ -184,4 +185,4 @@ def accepted(docs: DataFrame, model: Discriminant) -> DataFrame:
             for first, last, data, starts in text_slices(batch.column(at)):
                 yield batch.slice(first, last - first).filter(pa.array(model.scores(statistics(data, starts)) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)

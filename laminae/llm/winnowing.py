@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
+from .arrow import arrow_map
 from .durable import durable
 from .kernels import ALNUM, LOWER, gram_hashes, hash_spans, mix64, text_slices, word_spans
 
@@ -118,7 +119,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     Windows held by the same items share one list's content, and are told apart by their words.
     """
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).mapInArrow(_item_windows, _ITEM_DDL)
+    rows = arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text")), _item_windows, _ITEM_DDL)
     return rows.groupBy("length", "fingerprint", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
@@ -135,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
     known = bitmap.build(table, F.col("fingerprint"), table.count())
     narrow = docs.select(*(F.col(k) for k in keys), F.col("text"))
     schema = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
-    rows = narrow.mapInArrow(_document_windows(known, lengths), f"{schema}, {_HITS_DDL}").withColumn("__row", F.monotonically_increasing_id())
+    rows = arrow_map(narrow, _document_windows(known, lengths), f"{schema}, {_HITS_DDL}").withColumn("__row", F.monotonically_increasing_id())
     rows = rows.select(*keys, "__row", "n_words", F.explode_outer("hits").alias("h")).select(*keys, "__row", "n_words", "h.*")
     # A row without a window goes by its own number, not to the partition of null.
     rows = rows.withColumn("words", F.coalesce("words", F.concat(F.lit("\0"), F.col("__row").cast("string"))))
