@@ -11,29 +11,58 @@ from . import changes
 from .layer import LayeredTable
 
 
-def delete_cascade(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame, _path: tuple[str, ...] = ()) -> dict[str, LayeredTable]:
-    """Delete view rows of ``table`` and follow the relations that name them.
+def _naming(child: LayeredTable, column: str, keys: DataFrame) -> DataFrame:
+    """Keys of the child rows that name one of ``keys``."""
+    return child.rows().join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(column) == F.col("__k"), "left_semi").select(child.spec.pk)
 
-    ``cascade`` deletes the referring rows first, ``set_null`` clears their column, ``protect``
-    refuses. A table that comes round again is followed while it has rows to delete.
+
+def _but(keys: DataFrame, known: DataFrame | None) -> DataFrame:
+    if known is None:
+        return keys
+    pk = keys.columns[0]
+    return keys.join(known.select(F.col(known.columns[0]).alias("__known")), F.col(pk) == F.col("__known"), "left_anti")
+
+
+def doomed_keys(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """The keys, by table, that go when ``keys`` of ``table`` go and ``cascade`` relations are followed to the end.
+
+    A step adds only keys that were not there, so relations may form loops. It costs one small job
+    for each relation and step; steps are as many as the longest chain of referring rows.
     """
-    layers = dict(layers)
-    keys = layers[table].rows().join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(layers[table].spec.pk) == F.col("__k"), "left_semi")
-    keys = keys.select(layers[table].spec.pk)
+    start = layers[table].rows().join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(layers[table].spec.pk) == F.col("__k"), "left_semi")
+    doomed = {table: start.select(layers[table].spec.pk)}
+    fresh = dict(doomed)
+    while fresh:
+        found: dict[str, DataFrame] = {}
+        for r in relations:
+            if r.on_delete != "cascade" or r.to_table not in fresh or r.from_table not in layers:
+                continue
+            named = _but(_naming(layers[r.from_table], r.column, fresh[r.to_table]), doomed.get(r.from_table))
+            if not named.isEmpty():
+                found[r.from_table] = named.unionByName(found[r.from_table]).distinct() if r.from_table in found else named
+        for name, more in found.items():
+            doomed[name] = doomed[name].unionByName(more) if name in doomed else more
+        fresh = found
+    return doomed
+
+
+def delete_cascade(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame) -> dict[str, LayeredTable]:
+    """Delete view rows of ``table`` and all that goes with them; the layers that follow.
+
+    Rows that stay and name a row that goes are refused under ``protect`` and cleared under
+    ``set_null``; ``do_nothing`` leaves them to the checks of a commit.
+    """
+    out, doomed = dict(layers), doomed_keys(layers, relations, table, keys)
     for r in relations:
-        if r.to_table != table or r.from_table not in layers or r.on_delete == "do_nothing":
-            continue
-        child = layers[r.from_table]
-        named = child.rows().join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(r.column) == F.col("__k"), "left_semi").select(child.spec.pk)
-        if r.from_table in _path + (table,) and named.isEmpty():
+        if r.to_table not in doomed or r.from_table not in layers or r.on_delete not in ("protect", "set_null"):
             continue
-        if r.on_delete == "protect":
-            if found := named.limit(5).collect():
-                raise IntegrityViolation("foreign key", f"{r.from_table}.{r.column} protects {table}", found)
-        elif r.on_delete == "set_null":
+        named = _but(_naming(layers[r.from_table], r.column, doomed[r.to_table]), doomed.get(r.from_table))
+        if r.on_delete == "set_null":
+            child = out[r.from_table]
             null = F.lit(None).cast(child.base.schema[r.column].dataType)
-            layers[r.from_table] = changes.update(child, named, {r.column: null}).layer
-        else:
-            layers = delete_cascade(layers, relations, r.from_table, named, (*_path, table))
-    layers[table] = changes.delete(layers[table], keys).layer
-    return layers
+            out[r.from_table] = changes.update(child, named, {r.column: null}).layer
+        elif found := named.limit(5).collect():
+            raise IntegrityViolation("foreign key", f"{r.from_table}.{r.column} protects {r.to_table}", found)
+    for name, gone in doomed.items():
+        out[name] = changes.delete(out[name], gone).layer
+    return out
