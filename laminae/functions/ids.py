@@ -70,9 +70,9 @@ def with_new_keys(spec: LayerSpec, rows: DataFrame, base: DataFrame, order_by: l
         new = F.expr("uuid()") if spec.strategy.name == "UUID4" else uuid7_expression()
         return rows.withColumn(spec.pk, F.coalesce(key, new))
     step = spec.strategy.direction
-    taken = base.select(key).unionByName(rows.select(key)).agg((F.max(key) if step > 0 else F.min(key)).alias("__edge"))
-    edge = F.coalesce(F.greatest("__edge", F.lit(0)) if step > 0 else F.least("__edge", F.lit(0)), F.lit(0))
+    edge = base.select(key).unionByName(rows.select(key)).agg(F.max(key) if step > 0 else F.min(key)).first()[0] or 0
+    edge = max(edge, 0) if step > 0 else min(edge, 0)
     number = F.row_number().over(Window.orderBy(*(F.col(c).asc_nulls_last() for c in order_by)))
-    fresh = rows.filter(key.isNull()).withColumn("__n", number).crossJoin(F.broadcast(taken))  # one row beside each
-    fresh = fresh.withColumn(spec.pk, (edge + step * F.col("__n")).cast(kind)).drop("__n", "__edge")
+    fresh = rows.filter(key.isNull()).withColumn("__n", number)
+    fresh = fresh.withColumn(spec.pk, (edge + step * F.col("__n")).cast(kind)).drop("__n")
     return rows.filter(key.isNotNull()).unionByName(fresh.select(*rows.columns))

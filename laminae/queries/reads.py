@@ -22,14 +22,19 @@ def money(column: str):
 
 
 MONEY = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)".format
-n_ = F.count("*").alias("n")
+
+
+def n_():
+    """The number of rows, as ``n``."""
+    return F.count("*").alias("n")
+
 
 # -- scans and sources
 
 
 @query("view_by_origin", f"SELECT _overlay_origin AS origin, count(*) AS n, {MONEY('c_acctbal')} AS balance FROM cust GROUP BY 1", "cust")
 def _(c):
-    return c.cust.view.groupBy(col("_overlay_origin").alias("origin")).agg(n_, money("c_acctbal").alias("balance"))
+    return c.cust.view.groupBy(col("_overlay_origin").alias("origin")).agg(n_(), money("c_acctbal").alias("balance"))
 
 
 @query("view_full", f"SELECT _overlay_origin, {C} FROM cust", "cust")
@@ -44,7 +49,7 @@ def _(c):
 
 @query("view_bare_union", f"SELECT _overlay_origin AS origin, l_returnflag, count(*) AS n, {MONEY('l_quantity')} AS quantity FROM links GROUP BY 1, 2", "links")
 def _(c):
-    return c.links.view.groupBy(col("_overlay_origin").alias("origin"), "l_returnflag").agg(n_, money("l_quantity").alias("quantity"))
+    return c.links.view.groupBy(col("_overlay_origin").alias("origin"), "l_returnflag").agg(n_(), money("l_quantity").alias("quantity"))
 
 
 @query("view_hard_delete", "SELECT _overlay_origin, id, s_name, s_nationkey, s_acctbal FROM supp", "supp")
@@ -74,12 +79,12 @@ def _(c):
 
 @query("view_layered_links", "SELECT _overlay_origin, count(*) AS n, min(id) AS lo, max(id) AS hi FROM roster GROUP BY 1", "roster")
 def _(c):
-    return c.roster.view.groupBy("_overlay_origin").agg(n_, F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return c.roster.view.groupBy("_overlay_origin").agg(n_(), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 @query("source_filtered_and_not", "SELECT 'filtered' AS kind, count(*) AS n FROM docs_src UNION ALL SELECT 'unfiltered', count(*) FROM docs_all", "docs")
 def _(c):
-    kind = lambda df, k: df.agg(n_).select(lit(k).alias("kind"), "n")
+    kind = lambda df, k: df.agg(n_()).select(lit(k).alias("kind"), "n")
     return kind(c.docs.source(), "filtered").unionByName(kind(c.docs.source(filtered=False), "unfiltered"))
 
 
@@ -106,7 +111,7 @@ def _(c):
 
 @query("partition_narrowed_view", f"SELECT event_type, count(*) AS n, {MONEY('value')} AS total FROM evt WHERE event_type IN ('click', 'purchase') GROUP BY 1", "evt")
 def _(c):
-    return c.evt.narrowed(["click", "purchase"]).view.groupBy("event_type").agg(n_, money("value").alias("total"))
+    return c.evt.narrowed(["click", "purchase"]).view.groupBy("event_type").agg(n_(), money("value").alias("total"))
 
 
 @query("partition_point_by_key", "SELECT id, user_id, event_type FROM evt WHERE event_type = 'click' AND id BETWEEN 20 AND 60", "evt")
@@ -169,7 +174,7 @@ def _(c):
 def _(c):
     p, out = c.people, None
     for k, rows in (("view", p.view), ("base", p.base_only()), ("source", p.source_only()), ("overridden", p.overridden()), ("organic", p.organic())):
-        one = rows.agg(n_).select(lit(k).alias("k"), "n")
+        one = rows.agg(n_()).select(lit(k).alias("k"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -317,7 +322,7 @@ def _(c):
 def _(c):
     people = R.filter_forward(c.people.rows(), "c_nationkey", c.table("nation"), "n_nationkey", col("n_regionkey") == 2)
     orders = R.filter_forward(c.ord.rows(), "o_custkey", people, "id")
-    return R.filter_forward(c.links.rows(), "l_orderkey", orders, "id").groupBy("l_returnflag").agg(n_)
+    return R.filter_forward(c.links.rows(), "l_orderkey", orders, "id").groupBy("l_returnflag").agg(n_())
 
 
 @query("m2m_multiplies", "SELECT o.id, count(*) AS copies FROM ord o JOIN links l ON l.l_orderkey = o.id JOIN parts p ON p.id = l.l_partkey WHERE p.p_size < 20 GROUP BY 1", "ord", "links", "parts")
@@ -350,7 +355,7 @@ def _(c):
 
 @query("plain_to_layered", "SELECT n.n_name, count(*) AS n FROM nation n JOIN people p ON p.c_nationkey = n.n_nationkey GROUP BY 1", "people")
 def _(c):
-    return c.table("nation").join(c.people.rows(), col("c_nationkey") == col("n_nationkey")).groupBy("n_name").agg(n_)
+    return c.table("nation").join(c.people.rows(), col("c_nationkey") == col("n_nationkey")).groupBy("n_name").agg(n_())
 
 
 @query(
@@ -462,7 +467,7 @@ def _(c):
 )
 def _(c):
     return c.people.rows().agg(
-        n_,
+        n_(),
         F.min("c_acctbal").alias("lo"),
         F.max("c_acctbal").alias("hi"),
         money("c_acctbal").alias("total"),
@@ -473,7 +478,7 @@ def _(c):
 
 @query("group_by_two", f"SELECT c_nationkey, c_mktsegment, count(*) AS n, {MONEY('c_acctbal')} AS total FROM people GROUP BY 1, 2", "people")
 def _(c):
-    return c.people.rows().groupBy("c_nationkey", "c_mktsegment").agg(n_, money("c_acctbal").alias("total"))
+    return c.people.rows().groupBy("c_nationkey", "c_mktsegment").agg(n_(), money("c_acctbal").alias("total"))
 
 
 @query("group_average", "SELECT c_mktsegment, round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS average FROM people GROUP BY 1", "people")
@@ -483,7 +488,7 @@ def _(c):
 
 @query("rollup_and_cube", f"SELECT c_mktsegment, c_nationkey % 3 AS third, count(*) AS n FROM people GROUP BY CUBE (c_mktsegment, c_nationkey % 3)", "people")
 def _(c):
-    return c.people.rows().withColumn("third", col("c_nationkey") % 3).cube("c_mktsegment", "third").agg(n_)
+    return c.people.rows().withColumn("third", col("c_nationkey") % 3).cube("c_mktsegment", "third").agg(n_())
 
 
 @query("duplicates_having", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM people GROUP BY 1, 2 HAVING count(*) > 1", "people")

@@ -9,11 +9,10 @@ from ..operators import page as G
 from ..operators import relate as R
 from ..plans import strategies as ST
 from ..sources import graph
-from .reads import O
+from .reads import O, n_
 from .registry import query
 
 col, lit = F.col, F.lit
-n_ = F.count("*").alias("n")
 
 #: Conditions on orders through their relations: (name, SQL join and predicate, keys of the matching links).
 HOPS = (
@@ -46,7 +45,7 @@ def _hops(k: int) -> None:
     @query(f"hops_{k}_resolve", f"SELECT count(DISTINCT o.id) AS n FROM ord o {_joins(k)}", *_LAYERS)
     def _(c):
         # Only the number of different orders is asked for, so each condition is a semi-join.
-        return R.all_of(c.ord.rows(), "id", *(leaf(c, n) for n in names)).agg(n_)
+        return R.all_of(c.ord.rows(), "id", *(leaf(c, n) for n in names)).agg(n_())
 
     @query(f"hops_{k}_page", f"SELECT DISTINCT o.{O.replace(', ', ', o.')} FROM ord o {_joins(k)} ORDER BY o.o_totalprice DESC NULLS FIRST, o.id LIMIT 200", *_LAYERS)
     def _(c):
@@ -74,7 +73,7 @@ for _name, _where in {"narrow": "p_size = 1", "tenth": "p_size <= 5", "half": "p
     @query(f"scope_{_name}_resolve", f"SELECT count(DISTINCT o.id) AS n FROM ord o JOIN links l ON l.l_orderkey = o.id JOIN parts p ON p.id = l.l_partkey WHERE p.{_where}", *_LAYERS)
     def _(c, where=_where):
         keys = R.m2m_keys(c.links.rows(), "l_orderkey", "l_partkey", c.parts.rows(), "id", F.expr(where))
-        return P.in_keys(c.ord.rows(), "id", keys).agg(n_)
+        return P.in_keys(c.ord.rows(), "id", keys).agg(n_())
 
     @query(
         f"scope_{_name}_page",
@@ -103,7 +102,7 @@ for _name, (_plain, _layered) in _HYBRID.items():
     )
     def _(c, plain=_plain, layered=_layered):
         rows = R.filter_forward(c.people.rows(), "c_nationkey", c.table("nation"), "n_nationkey", F.expr(plain.replace("n.", "")))
-        return R.filter_reverse(rows, "id", c.ord.rows(), "o_custkey", F.expr(layered.replace("o.", "")), once=True).agg(n_)
+        return R.filter_reverse(rows, "id", c.ord.rows(), "o_custkey", F.expr(layered.replace("o.", "")), once=True).agg(n_())
 
 
 # -- a summary of 17 numbers over four scopes, in five formulations
@@ -174,18 +173,18 @@ _REVERSE = "SELECT count(DISTINCT p.id) AS n FROM people p JOIN ord o ON o.o_cus
 
 @query("reverse_arm_join", _REVERSE, "people", "ord")
 def _(c):
-    return R.filter_reverse(c.people.rows(), "id", c.ord.rows(), "o_custkey", col("o_totalprice") > 250000).select("id").distinct().agg(n_)
+    return R.filter_reverse(c.people.rows(), "id", c.ord.rows(), "o_custkey", col("o_totalprice") > 250000).select("id").distinct().agg(n_())
 
 
 @query("reverse_arm_fenced", _REVERSE, "people", "ord")
 def _(c):
     rich = c.ord.rows().filter("o_totalprice > 250000")
-    return R.filter_reverse(P.in_keys(c.people.rows(), "id", rich.select("o_custkey")), "id", rich, "o_custkey").select("id").distinct().agg(n_)
+    return R.filter_reverse(P.in_keys(c.people.rows(), "id", rich.select("o_custkey")), "id", rich, "o_custkey").select("id").distinct().agg(n_())
 
 
 @query("reverse_arm_semi", _REVERSE, "people", "ord")
 def _(c):
-    return R.filter_reverse(c.people.rows(), "id", c.ord.rows(), "o_custkey", col("o_totalprice") > 250000, once=True).agg(n_)
+    return R.filter_reverse(c.people.rows(), "id", c.ord.rows(), "o_custkey", col("o_totalprice") > 250000, once=True).agg(n_())
 
 
 @query(
@@ -197,7 +196,7 @@ def _(c):
 )
 def _(c):
     rows = R.filter_reverse(c.people.rows(), "id", c.ord.rows(), "o_custkey", col("o_totalprice") > 250000, once=True)
-    return R.any_of(rows, "id", c.ord.rows().filter("o_orderstatus = 'F'").select("o_custkey"), c.prof.rows().select("person_id")).agg(n_)
+    return R.any_of(rows, "id", c.ord.rows().filter("o_orderstatus = 'F'").select("o_custkey"), c.prof.rows().select("person_id")).agg(n_())
 
 
 # -- keys kept in the engine, from the link side, and a page by keyset through all rows
@@ -232,6 +231,6 @@ def _(c):
     parts = (("base", person.base_only()), ("source", person.source_only()), ("overridden", person.overridden()), ("organic", person.organic()), ("mirror", graph.mirror(person)), ("dangling", lost))
     out = None
     for k, rows in parts:
-        one = rows.agg(n_).select(lit(k).alias("k"), col("n").cast("int").alias("n"))
+        one = rows.agg(n_()).select(lit(k).alias("k"), col("n").cast("int").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out

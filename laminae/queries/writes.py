@@ -12,11 +12,10 @@ from ..operators import swap as S
 from ..operators.layer import LayeredTable
 from ..spec import RedundantPolicy, Relation, Unique
 from ..streaming.apply import apply_changes
-from .reads import C
+from .reads import C, n_
 from .registry import query
 
 col, lit = F.col, F.lit
-n_ = F.count("*").alias("n")
 
 
 def _new(c, n: int):
@@ -103,7 +102,7 @@ def _(c):
 @query("update_matched_count", f"SELECT count(*) AS n FROM people WHERE {_SET}", "people")
 def _(c):
     change = W.update(c.people, col("c_mktsegment") == "BUILDING", {"c_nationkey": lit(5)}, RedundantPolicy("skip", "all"))
-    return change.matched.agg(n_)
+    return change.matched.agg(n_())
 
 
 @query(
@@ -145,7 +144,7 @@ def _(c):
 def _(c):
     once = W.materialize(c.people, col("c_nationkey") == 2)
     twice = W.materialize(once.layer, col("c_nationkey") == 2)
-    return twice.base.join(once.matched.select(col("id").alias("m")), col("id") == col("m"), "left_anti").agg(n_)
+    return twice.base.join(once.matched.select(col("id").alias("m")), col("id") == col("m"), "left_anti").agg(n_())
 
 
 # -- deletes
@@ -203,7 +202,7 @@ def _(c):
 def _(c):
     present = c.people.rows().filter("id = 7").select("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     rows = _new(c, 25).withColumn("c_name", F.replace("c_name", lit("New "))).unionByName(present)
-    return W.get_or_create(c.people, rows, ["c_name"], order_by=["c_name"]).layer.rows().agg(n_)
+    return W.get_or_create(c.people, rows, ["c_name"], order_by=["c_name"]).layer.rows().agg(n_())
 
 
 @query(

@@ -390,3 +390,30 @@ def test_generated_graph(spark):
     assert person.view.count() == 1000 and person.overridden().count() == person.organic().count() == 200
     assert rows(graph.entity(spark, "person", 1000, 0.4).view) == rows(person.view)
     assert graph.mirror(person).columns == list(person.spec.columns)
+
+
+def test_columns_evolve(spark):
+    from laminae.operators import evolve
+
+    layer = world(spark, Strategy.UUID4, unique=(Unique(("name",)),))
+    wider = layer.source_table.withColumn("city", lit("here"))
+    more = evolve.add_column(layer, "city", lit("?"), wider)
+    assert {(r["id"], r["city"]) for r in more.rows().collect()} == {("o1", "?"), ("v11", "?"), ("v15", "?"), ("v12", "here")}
+    assert evolve.columns_in_view_order(["_overlay_origin", "age", "id", "gone"], more.spec) == ["_overlay_origin", "age", "id", "name", "city"]
+    assert rows(evolve.drop_column(more, "city").view) == rows(layer.view)
+    named = evolve.rename_column(layer, "name", "title", layer.source_table.withColumnRenamed("name", "title"))
+    assert named.spec.unique[0].columns == ("title",) and rows(named.view) == rows(layer.view)
+    longer = evolve.alter_type(layer, "age", "bigint", layer.source_table.withColumn("age", col("age").cast("bigint")))
+    assert dict(longer.view.dtypes)["age"] == "bigint"
+    for refused in (lambda: evolve.add_column(layer, "age", lit(1), wider), lambda: evolve.drop_column(layer, "name"), lambda: evolve.rename_column(layer, "id", "key", wider), lambda: evolve.alter_type(layer, "age", "bigint", layer.source_table)):
+        with pytest.raises(LayerConfigError):
+            refused()
+
+
+def test_tenants_share_a_source(spark, tmp_path):
+    layer = world(spark, Strategy.NEGATIVE_ID)
+    stores = {t: SnapshotStore(spark, f"file://{tmp_path}/{t}") for t in ("north", "south")}
+    for tenant, store in stores.items():
+        store.publish(changes.update(layer, col("name") == "untouched", {"name": lit(tenant)}).base, 0)
+    seen = {t: {r["name"] for r in s.layer(layer.spec, layer.source_table).rows().collect()} for t, s in stores.items()}
+    assert "north" in seen["north"] and "south" not in seen["north"] and "south" in seen["south"]
