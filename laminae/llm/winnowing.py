@@ -7,8 +7,8 @@ document fingerprints that it lets through are extended to the windows they stan
 windows are joined with the benchmark's by their words, which verifies them. An item of fewer than
 10 words, but not none, is one window of its own length, found by a hash of that length.
 
-Null has no words. Rows that repeat are documents or items of their own (repeated item_ids count
-once). A benchmark without words hits nothing; empty tables give empty results. A word of a document
+Null has no words. Items without an id are left out. Rows that repeat are documents or items of
+their own (repeated item_ids count once). A benchmark without words hits nothing; empty tables give empty results. A word of a document
 is hit when it lies in any occurrence of a window.
 """
 
@@ -119,7 +119,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     Windows held by the same items share one list's content, and are told apart by their words.
     """
-    rows = arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text")), _item_windows, _ITEM_DDL)
+    named = benchmark.filter(F.col("item_id").isNotNull())
+    rows = arrow_map(named.select(F.col("item_id").cast("long"), F.col("text")), _item_windows, _ITEM_DDL)
     return rows.groupBy("length", "fingerprint", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 

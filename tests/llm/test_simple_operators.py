@@ -225,6 +225,6 @@ def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     run = lambda d, b: rows(winnowing.contaminated(d, b).select("*", digest, (F.col("n_hit") > 0).alias("contaminated")))
     named = items.filter("item_id is not null")
-    check_contamination(run(odd_docs, named), rows(odd_docs), rows(named))
+    check_contamination(run(odd_docs, items), rows(odd_docs), rows(named))
     check_contamination(run(odd_docs, items.filter("false")), rows(odd_docs), [])
     assert run(no_docs, items) == []
