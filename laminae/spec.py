@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .errors import LayerConfigError
 
+# Columns that readers of bases and views rely on.
 DELETED = "_overlay_deleted"
 ORIGIN = "_overlay_origin"
 
