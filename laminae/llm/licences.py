@@ -1,10 +1,11 @@
 r"""Licence scans by sentence rules, in DataFrame operations alone.
 
-A text is cut into sentences, each is normalised (lower-cased, every run of other characters
-than letters, digits and bytes above ASCII made one space) and looked up among known licence
-sentences. A document's ordered identifiers are then matched against the ordered rules: a rule holds
-when its identifiers occur in its order, with or without others between them. All of it happens
-within a row: no shuffle, and a sentence that a third of all documents share costs nothing more.
+A text is normalised (lower-cased, every run of other characters than letters, digits and bytes
+above ASCII made one space, ends of sentences and lines marked) and known licence sentences are
+found between ends, also where they are wrapped over lines. A document's ordered identifiers are
+then matched against the ordered rules: a rule holds when its identifiers occur in its order, with or
+without others between them. All of it happens within a row: no shuffle, and a sentence that a third
+of all documents share costs nothing more.
 
 A null text has no sentences. Rows that repeat are rows of their own. Only doc_id and text are read.
 """
@@ -65,6 +66,8 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same without H and S, which no lower-cased text holds and ``lines`` puts for ends.
+NOT_WORD_OR_END = r"[\x00-\x2F\x3A-\x47\x49-\x52\x54-\x60\x7B-\x7F]+"
 
 
 def normal_form(sentence: str) -> str:
@@ -89,14 +92,29 @@ def expanded(rules: list[tuple[str, tuple[str, ...]]], known: dict[str, str]) ->
     return [(licence, tuple(p for s in ids for p in parts(s))) for licence, ids in rules]
 
 
+def lines(text: Column) -> Column:
+    """Lower-cased words between spaces, with ``H`` where a sentence ends by its marks and ``S`` where only a line does.
+
+    Marks before and within a line (those of comments too) go with the spaces. Every step is linear, in long runs as well.
+    """
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, put in ((r"[.!?][\x09-\x0D\x20]+", "H"), (r"[\x0A-\x0D]+", "S"), (NOT_WORD_OR_END, " "), (" ?S[ S]*", "S"), ("[ S]?H[ HS]*", "H")):
+        text = F.regexp_replace(text, pattern, put)
+    return F.concat(F.lit("S"), F.trim(text), F.lit("S"))
+
+
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
-    """The ordered identifiers of a text's known sentences."""
-    sentences = F.split(F.lower(F.coalesce(text, F.lit(""))), BOUNDARY)
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
-    forms, names = F.lit(list(known)), F.lit(list(known.values()))
-    # The intersection is by hash and nearly always empty; only then are places looked up.
-    found = F.filter(normal, lambda s: F.array_contains(forms, s))
-    return F.transform(found, lambda s: F.element_at(names, F.array_position(forms, s).cast("int")))
+    """The ordered identifiers of a text's known sentences.
+
+    A known sentence starts and ends where a sentence or line does; lines may end within it, sentences not.
+    """
+    forms = sorted(known, key=len, reverse=True)
+    pattern = "[HS](?=(" + "|".join(f.replace(" ", "[ S]") for f in forms) + ")[HS])"
+    # The longest at each place; shorter ones that end with a line of it are known sentences too.
+    found = F.regexp_extract_all(lines(text), F.lit(pattern), F.lit(1))
+    held = lambda s, f: (F.translate(F.substring(s, 1, len(f)), "S", " ") == f) & F.substring(s, len(f) + 1, 1).isin("", "S")
+    names = lambda s: F.array_compact(F.array(*(F.when(held(s, f), F.lit(known[f])) for f in reversed(forms))))
+    return F.flatten(F.transform(found, names))
 
 
 def licence_matches(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:

@@ -113,6 +113,60 @@ def test_rules_need_their_order(spark):
     assert got == {0: ["MIT"], 1: [], 2: ["BSD-2-Clause", "BSD-3-Clause"], 3: ["Apache-2.0", "MIT"], 4: ["MPL-2.0"], 5: [], 6: [], 7: []}
 
 
+WRAPPED_MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+APACHE_HEADER = """# Copyright 2024 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language.
+import os
+"""
+
+
+def test_sentences_wrapped_over_lines(spark):
+    s = licences.SENTENCES
+    wrapped = lambda name: re.sub("((?:[^ ]+ ){7}[^ ]+) ", r"\1\r\n * ", s[name])
+    bsd = "/*\n * " + "\n * ".join(f"{i}. {wrapped(n)}." for i, n in enumerate(["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"])) + "\n */"
+    texts = {
+        WRAPPED_MIT: ("mit-grant,mit-notice-kept,mit-as-is", ["MIT"]),
+        APACHE_HEADER: ("apache-header,apache-copy,apache-as-is", ["Apache-2.0"]),
+        APACHE_HEADER.replace("2.0 (the", "2.0\n# (the"): ("apache-notice,apache-header,apache-copy,apache-as-is", ["Apache-2.0"]),
+        bsd: ("bsd-grant,bsd-source,bsd-binary,bsd-endorse", ["BSD-2-Clause", "BSD-3-Clause"]),
+        f"{wrapped('gpl-free')}.\r\n\r\n{wrapped('gpl-hope')}.": ("gpl-free,gpl-hope", ["GPL-3.0-or-later"]),
+        "Released under. The MIT License\nIt is not licensed under\nthe MIT License": ("", []),
+        "Released under\nthe MIT License, they say": ("", []),
+        "-\n" * 50_000 + "!" * 100_000 + "\nAll rights\n\n reserved!": ("reserved", ["proprietary"]),
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text AS doc_id", "text")
+    assert {r["doc_id"]: (",".join(r["sentence_ids"]), r["licences"]) for r in rows(licences.licence_matches(docs))} == texts
+
+
 def test_licences_of_odd_rows(odd_docs, no_docs):
     assert licences.licence_matches(odd_docs).count() == odd_docs.count()
     assert licences.licence_matches(no_docs).collect() == []
