@@ -84,7 +84,7 @@ def _signatures(k: int):
 
 
 def _candidate_sets(k: int, wanted: bitmap.BitMap):
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int32())), ("members", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int32())), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,12 +92,14 @@ def _candidate_sets(k: int, wanted: bitmap.BitMap):
             named = np.asarray(ids.fill_null(0))
             take = np.flatnonzero(wanted.hits(named.view(np.uint64)) | np.asarray(ids.is_null()))
             part = batch.take(pa.array(take))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, members in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True):
                 if not len(members):
                     continue
+                lo = _digest(members)[0]
                 row = (
-                    doc if doc is not None else _nameless(_digest(members)[0]),
+                    doc if doc is not None else _nameless(lo),
+                    lo,
                     len(members),
                     parity_sketch(members),
                     (band_keys(fast_sketch(members)) >> np.uint64(32)).astype(np.uint32).view(np.int32),
@@ -165,8 +167,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     mixed = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.filter("lo <> hi and m > 2").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = durable(rows.join(mixed, "band"))
-    wide = sets.select("node", "n", "parity", "keys").join(rows.select("node").distinct(), "node", "left_semi")
-    rows = rows.join(wide.dropDuplicates(["node"]), "node")
+    # A node has a set for each text of its doc_id; a band row goes with the one it came from.
+    wide = sets.select("node", "lo", "n", "parity", "keys").join(rows.select("node", "lo").distinct(), ["node", "lo"], "left_semi")
+    rows = rows.join(wide.dropDuplicates(["node", "lo"]), ["node", "lo"])
     left = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     left = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
@@ -190,14 +193,14 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
     """``node, component`` of the classes that are linked with another class."""
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = classes.select("node", F.explode("bands").alias("band"))
+    rows = classes.select("node", "lo", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("__last")).filter("hub <> __last").drop("__last")
     members = durable(rows.join(hubs, "band"))  # adaptive execution splits the partition of a hot bucket
     known, n_known = compact(members.select("node").distinct())
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(
         arrow_map(
-            sets, _candidate_sets(k, bitmap.build(known, F.col("node"), n_known)), "node long, n long, parity array<long>, keys array<int>, members binary"
+            sets, _candidate_sets(k, bitmap.build(known, F.col("node"), n_known)), "node long, lo long, n long, parity array<long>, keys array<int>, members binary"
         )
     )
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()

@@ -97,6 +97,25 @@ def test_group_without_a_common_centre(spark):
     assert got(near_dedup.near_duplicates(docs, k=1)) == by_hand(rows(docs), 1)
 
 
+def test_links_by_another_text_of_a_doc_id(spark):
+    """Pairs that share only buckets of lesser, unlike members; both ends have a second text in a row of its own."""
+    rng = np.random.default_rng(5)
+    docs, other = [], []
+    for g in range(8):
+        shared = [f"g{g}b{i}" for i in range(80)]
+        docs += [{"doc_id": 100 * g + i, "text": " ".join(rng.permutation(shared)[:70])} for i in range(60)]
+        for d in (100 * g + 90, 100 * g + 91):
+            docs.append({"doc_id": d, "text": " ".join(shared + [f"d{d}x{j}" for j in range(9)])})
+            other.append({"doc_id": d, "text": " ".join(f"d{d}o{j}" for j in range(400))})
+    want = by_hand(docs, 1)
+    component = {d: (c, kept) for d, _, c, kept in want}
+    assert all(component[d["doc_id"]][0] % 100 == 90 for d in other)
+    want += Counter((d["doc_id"], 400, *component[d["doc_id"]]) for d in other)
+    for both in (docs + other, other + docs):
+        table = spark.createDataFrame([(d["doc_id"], d["text"]) for d in both], "doc_id long, text string")
+        assert got(near_dedup.near_duplicates(table, k=1)) == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     for k in (1, 2, 5):
         assert got(near_dedup.near_duplicates(odd_docs, k=k)) == by_hand(rows(odd_docs), k)
