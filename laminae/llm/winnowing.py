@@ -7,8 +7,8 @@ document fingerprints that it lets through are extended to the windows they stan
 windows are joined with the benchmark's by their words, which verifies them. An item of fewer than
 10 words, but not none, is one window of its own length, found by a hash of that length.
 
-Null has no words. Items without an id are left out. Rows that repeat are documents or items of
-their own (repeated item_ids count once). A benchmark without words hits nothing; empty tables give empty results. A word of a document
+Null has no words. Items without an id count for hits, and are left out of the lists of ids only. Rows
+that repeat are documents or items of their own (repeated item_ids count once). A benchmark without words hits nothing; empty tables give empty results. A word of a document
 is hit when it lies in any occurrence of a window.
 """
 
@@ -115,12 +115,12 @@ def _document_windows(known: bitmap.BitMap, lengths: list[int]):
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows ``length, fingerprint, words`` of the items with ``items``, the ids that hold them.
+    """Distinct windows ``length, fingerprint, words`` of the items with ``items``, the ids that hold them (none, where only items
+    without an id do).
 
     Windows held by the same items share one list's content, and are told apart by their words.
     """
-    named = benchmark.filter(F.col("item_id").isNotNull())
-    rows = arrow_map(named.select(F.col("item_id").cast("long"), F.col("text")), _item_windows, _ITEM_DDL)
+    rows = arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text")), _item_windows, _ITEM_DDL)
     return rows.groupBy("length", "fingerprint", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
@@ -161,5 +161,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
         ),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("lists", lambda x: F.split(x, ",")))))
+    ids = F.flatten(F.transform("lists", lambda x: F.split(x, ",")))
+    items = F.array_sort(F.array_distinct(F.filter(ids, lambda x: x != "")))  # an empty list is split to one empty id
     return per.select(*keys, "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "spans")

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from laminae.llm import chunk_dedup, hilbert, kernels, mixing, queries, winnowing
+from laminae.llm import chunk_dedup, hilbert, kernels, mixing, queries, stages, winnowing
 from pyspark.sql import functions as F
 
 
@@ -228,3 +228,12 @@ def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
     check_contamination(run(odd_docs, items), rows(odd_docs), rows(named))
     check_contamination(run(odd_docs, items.filter("false")), rows(odd_docs), [])
     assert run(no_docs, items) == []
+
+
+def test_items_without_an_id_hit(spark):
+    one, two = "one two three four five six seven eight nine ten", "a b c d e f g h i j"
+    items = spark.createDataFrame([(None, one), (None, two), (7, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"{one} {two}"), (3, "one two three")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in rows(winnowing.contaminated(docs, items))}
+    assert got == {1: (10, 0, []), 2: (20, 1, ["7"]), 3: (0, 0, [])}
+    assert [r["doc_id"] for r in rows(stages.keep_uncontaminated(docs, items))] == [3]
