@@ -218,12 +218,10 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, key (row_key), n_shingles, component_id, kept`` for every row of ``docs``.
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, key (row_key), n_shingles, group`` for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks that document. The
-    sketches make a link of similarity ``percent`` / 100 a candidate but for a chance of
-    (1 - s**6)**48.
+    ``group`` is the smallest doc_id reachable over links, or a number from ``NAMELESS`` on where there is none.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     signatures = durable(arrow_map(narrow, _signatures(k), "doc_id long, key long, n_shingles long, lo long, hi long, bands array<long>"))
@@ -234,6 +232,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = classes.join(linked, "node", "left").filter("size > 1 or component is not null")
     classes = classes.select("lo", "hi", F.coalesce("component", "node").alias("component"))
     out = lookup(signatures.drop("bands"), classes, ["lo", "hi"], "doc_id")
-    component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
-    component = F.when(component < NAMELESS, component)
-    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    alone = F.col("key").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))  # no id, no words
+    group = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"), alone)
+    return out.select("doc_id", "key", "n_shingles", group.alias("group"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, key (row_key), n_shingles, component_id, kept`` for every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks that document. The
+    sketches make a link of similarity ``percent`` / 100 a candidate but for a chance of
+    (1 - s**6)**48.
+    """
+    component = F.when(F.col("group") < NAMELESS, F.col("group"))
+    rows = grouped(docs, k, percent)
+    return rows.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mixing, near_dedup, quality, winnowing
+from .durable import compact
 from .lookup import lookup
 
 #: Keys of 8 bytes that may be broadcast: 8 MB as a table of longs.
@@ -27,7 +28,21 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    return without(docs, near_dedup.near_duplicates(docs, k, percent).filter("not kept").select("key"))
+    """Exactly one row of each group of near copies: of the smallest doc_id, and of rows equal in doc_id and text one."""
+    rows = near_dedup.grouped(docs, k, percent).groupBy("group", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    keys, _ = compact(rows)
+    other = F.coalesce(F.col("doc_id") != F.col("group"), F.lit(True))
+    stays = keys.groupBy("group").agg(F.min(F.struct(other.alias("other"), "key"))["key"].alias("stays"), F.count("*").alias("m")).filter("m > 1")
+    marked = lookup(keys, stays.drop("m"), ["group"], "key")
+    out = without(docs, marked.filter("key <> stays").select("key"))
+    repeated, n_repeated = compact(marked.filter("n > 1 and (stays is null or key = stays)").select(F.col("key").alias("__key")))
+    if not n_repeated:
+        return out
+    keyed = lookup(out.withColumn("__key", near_dedup.row_key()), repeated.withColumn("__many", F.lit(True)), ["__key"], "doc_id", BROADCAST_KEYS)
+    keyed = keyed.withColumn("__key", near_dedup.row_key())  # the lookup drops its keys
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = keyed.filter("__many").groupBy("__key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__doc"))
+    return keyed.filter("__many is null").select(*columns).unionByName(one.select("__doc.*"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

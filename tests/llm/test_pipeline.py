@@ -65,3 +65,17 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
         assert clean.count() == max(0, n - 1) and mix.exceptAll(docs.union(docs)).isEmpty()
         assert sorted(str(r[0]) for r in near.select("doc_id").collect()) == (["1", "3", "4", "5", "6", "8", "None"] if n else [])
     assert stages.without(odd_docs, odd_docs.select(F.xxhash64("doc_id", "text").alias("key"))).isEmpty()
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark, odd_docs):
+    """A batch loaded twice, many copies without an id, and texts under one doc_id."""
+    near = stages.keep_one_of_near_copies
+    assert Counter(r["doc_id"] for r in rows(near(odd_docs.union(odd_docs)))) == Counter(r["doc_id"] for r in rows(near(odd_docs)))
+    text = "one two three four five six seven"
+    data = [(None, text, "a")] * 5 + [(None, f"other {text} {text}", "a")] * 2 + [(None, None, "a"), (None, None, "b"), (None, " ", "a"), (4, "x y", "a"), (4, "x z", "a"), (9, "x y", "b")]
+    data += [(8, "same", "a"), (8, "same", "b"), (8, "same", "b"), (7, "lone", "c")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    out = near(docs)
+    assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
+    got = Counter((r["doc_id"], r["text"] if r["doc_id"] != 4 else "x") for r in rows(out))
+    assert got == Counter([(None, text), (None, f"other {text} {text}"), (None, None), (None, " "), (4, "x"), (8, "same"), (7, "lone")])
