@@ -28,8 +28,8 @@ RULES = (
     ("block", "org", "/es/"),
 )
 LEVELS = 8
-#: A branch has so many URLs, and so large a share of its parent's, at least.
-LEAST_URLS, LEAST_SHARE = 5, 0.02
+#: A branch has so many URLs at least.
+LEAST_URLS = 5
 #: Standard errors from which a branch's share of blocked URLs differs from its siblings'.
 DIFFERENT = 1.96
 #: Weight of the prior share in a template's purity, and the purity from which it is rejected.
@@ -79,8 +79,8 @@ def templates(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("seg", seg)
         branches = rows.filter("seg is not null").groupBy("template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.sum("bad").alias("hit"))
         branches = branches.fillna(0, ["hit"])
-        parents = branches.groupBy("template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "seen", "hit")))
-        branches = branches.join(parents, "template").filter((F.col("n") >= LEAST_URLS) & (F.col("n") >= LEAST_SHARE * F.col("all_n")))
+        parents = branches.groupBy("template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("seen", "hit")))
+        branches = branches.join(parents, "template").filter(F.col("n") >= LEAST_URLS)
         others, other_hit = F.col("all_seen") - F.col("seen"), F.col("all_hit") - F.col("hit")
         pooled = F.try_divide(F.col("all_hit"), F.col("all_seen"))
         gap = F.try_divide(F.col("hit"), F.col("seen")) - F.try_divide(other_hit, others)

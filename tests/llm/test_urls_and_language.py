@@ -97,6 +97,14 @@ def test_op7(spark, scale):
     check_pages(rows(queries.op7_url_template_tree(spark, sf_dir)), pages)
 
 
+def test_a_different_branch_of_many_stays(spark):
+    """One section of 60 equal ones is bad: it is under 2 % of its host and still a template."""
+    data = [(100 * s + i, "h", [f"s{s}", "#"], int(s == 7)) for s in range(60) for i in range(10)]
+    got = url_tree.templates(spark.createDataFrame(data, "page_id long, host string, segments array<string>, bad int"))
+    assert {r["template"].split("/")[1] for r in got.filter("bad = 1").collect()} == {"s7"}
+    assert got.filter("bad = 0 and template like 'h/s7/%'").isEmpty()
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://ExAmple.COM/en/7?x#y", "a://b://c/d", "x://com/en/", "x://notcom/en/1", "x://a.com/en", "ftp://u:p@H.net:80/de/9#a?b/c", "x://É.org/es/ñ"]
     urls += ["x://h.com/" + "/".join("abcdefghijk")] * 7 + [f"x://h.com/en/x/{i}" for i in range(30)] + [f"x://h.com/EN/x/{i}" for i in range(30)]
