@@ -5,13 +5,16 @@ is the sum over all its segmentations into pieces, by the forward algorithm; a t
 over its words. Piece probabilities are fitted by expectation-maximisation on labelled texts.
 
 Words are runs of ASCII letters (lower-cased, as are the two-byte Latin-1 capitals) and of bytes
-above ASCII, each with a leading space, as the vocabulary has it; words of more than 64 bytes are
-scored in parts of 64. Every single byte is a piece, so every word has a probability. The vocabulary
-stays where it is: its path is a parameter, and tasks receive its pieces (50,257 at most).
+above ASCII, each with a leading space, as the vocabulary has it, whatever their length. All pieces
+that can occur in such words take part, and every single byte is a piece, so every word has a
+probability. The vocabulary stays where it is: its path is a parameter, and tasks receive 8 bytes for
+each of its pieces.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text when nothing is
-learned. Documents of null doc_id are never learned from. Only doc_id, text and lang are read, and
-lang for learning alone.
+learned, and an empty table gives an empty result. Very long texts and words are scored whole, in
+memory that grows with neither. Languages of equal score: the first by code point. Rows that repeat
+are rows of their own. Documents of null doc_id are never learned from. Only doc_id, text and lang
+are read, and lang for learning alone; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,48 +34,53 @@ from .durable import durable
 from .kernels import LOWER, byte_class, hash_spans, mix64, random_words, text_slices, word_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longest piece and word part, in bytes; documents a language that are learned from, on average at most; rounds of fitting.
-LONGEST, PART, PER_LANGUAGE, ROUNDS = 10, 64, 400, 3
+#: Documents a language that are learned from, on average at most; rounds of fitting.
+PER_LANGUAGE, ROUNDS = 400, 3
+#: Words of so many bytes at most are summed many at a time, without a scale; no product of their pieces is too small for a double.
+SHORT = 32
+#: For fitting alone, words longer than this count as words of this length.
+FIT_PART = 4096
 #: Added to the expected count of every piece.
 SMOOTHING = 0.02
 
 LETTERS = byte_class(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _BYTES, _STEP = random_words(256, 21), np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 19
 
 
 class Pieces:
     """A vocabulary as two hash tables of (key, number); a second place serves the few keys whose first is taken.
 
-    What is pickled, and so goes to the tasks, are the keys: 8 bytes a piece.
+    What is pickled, and so goes to the tasks, are the keys: 8 bytes a piece. ``longest`` is the longest piece in bytes.
     """
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.chosen, self.count = keys, len(keys)
-        slot = keys >> np.uint64(64 - _SLOTS)
+    def __init__(self, keys: np.ndarray, longest: int) -> None:
+        self.chosen, self.count, self.longest = keys, len(keys), longest
+        bits = max(10, (13 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = keys >> self.shift
         _, first = np.unique(slot, return_index=True)
         rest = np.setdiff1d(np.arange(len(keys)), first)
         for again in random_words(4000, 22) | np.uint64(1):
-            second = (keys[rest] * again) >> np.uint64(64 - _SLOTS)
+            second = (keys[rest] * again) >> self.shift
             if len(np.unique(second)) == len(rest):
                 break
         else:
             raise ValueError("some pieces have no second place")
         self.again = again
-        self.keys = [np.zeros(1 << _SLOTS, np.uint64) for _ in range(2)]
-        self.numbers = [np.zeros(1 << _SLOTS, np.int32) for _ in range(2)]
+        self.keys = [np.zeros(1 << bits, np.uint64) for _ in range(2)]
+        self.numbers = [np.zeros(1 << bits, np.int32) for _ in range(2)]
         for table, numbers, at, which in zip(self.keys, self.numbers, (slot[first], second), (first, rest), strict=True):
             table[at], numbers[at] = keys[which], which
 
     def __reduce__(self):
-        return Pieces, (self.chosen,)
+        return Pieces, (self.chosen, self.longest)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's piece, or ``count``."""
-        slot = keys >> np.uint64(64 - _SLOTS)
+        slot = keys >> self.shift
         out = np.where(self.keys[0][slot] == keys, self.numbers[0][slot], self.count)
         rest = np.flatnonzero(out == self.count)
-        slot = (keys[rest] * self.again) >> np.uint64(64 - _SLOTS)
+        slot = (keys[rest] * self.again) >> self.shift
         out[rest] = np.where(self.keys[1][slot] == keys[rest], self.numbers[1][slot], self.count)
         return out
 
@@ -87,9 +96,9 @@ def vocabulary(path: str = VOCABULARY) -> Pieces:
     """The pieces of a rank file (base 64, then a number, on each line) that can occur in words, and all bytes."""
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    usable = lambda p: 0 < len(p) <= LONGEST and all(LETTERS[b] and not 65 <= b <= 90 for b in p.removeprefix(b" "))
+    usable = lambda p: p and all(LETTERS[b] and not 65 <= b <= 90 for b in p.removeprefix(b" "))
     chosen = sorted({p for p in pieces if usable(p)} | {bytes([b]) for b in range(256)})
-    return Pieces(np.array([_key(p) for p in chosen], np.uint64))
+    return Pieces(np.array([_key(p) for p in chosen], np.uint64), max(map(len, chosen)))
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -100,21 +109,14 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def parts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and row of the word parts of a slice of folded bytes."""
+def spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of the words of a slice of folded bytes."""
     begin, end, before = word_spans(data, starts, LETTERS)
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(before))
-    size = end - begin
-    if len(size) and size.max() > PART:
-        pieces = -(-size // PART)
-        which = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, end, owner = np.repeat(begin, pieces) + which * PART, np.repeat(end, pieces), np.repeat(owner, pieces)
-        end = np.minimum(end, begin + PART)
-    return begin, end, owner
+    return begin, end, np.repeat(np.arange(len(starts) - 1), np.diff(before))
 
 
 class Lattice:
-    """The segmentations of some distinct words, longest first, in a buffer with a space before each."""
+    """The segmentations of some short words, longest first, in a buffer with a space before each."""
 
     def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> None:
         size = end - begin + 1
@@ -126,24 +128,26 @@ class Lattice:
         buffer = data[np.minimum(np.repeat(begin[self.order], size) + np.maximum(within - 1, 0), len(data) - 1)]
         buffer[within == 0] = 32
         left = np.repeat(size, size) - within
+        # How many words are longer than j: they come first.
+        self.active = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 1), side="right")
+        self.longest = min(pieces.longest, len(self.active) - 1)
         self.found, h = [], np.zeros(total, np.uint64)
-        for length in range(1, LONGEST + 1):
-            h[: total - length + 1] = h[: total - length + 1] * _STEP + _BYTES[buffer[length - 1 :]]
-            number = np.full(total, pieces.count, np.int32)
-            inside = np.flatnonzero(left >= length)
+        for length in range(1, self.longest + 1):
+            # Only words of at least this length can hold such a piece.
+            upto = int(size[: self.active[length]].sum())
+            h = h[: upto - length + 1] * _STEP + _BYTES[buffer[length - 1 : upto]]
+            number = np.full(upto, pieces.count, np.int32)
+            inside = np.flatnonzero(left[: upto - length + 1] >= length)
             number[inside] = pieces.find(mix64(h[inside] + np.uint64(length)))
             self.found.append(number)
-        # How many words are longer than j: they come first.
-        self.active = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 1), side="right")
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each start of each word (places x words x languages); ``p`` has a last row of zeros."""
-        longest = len(self.active) - 1
-        a = np.zeros((longest + 1, len(self.size), p.shape[1]))
+        a = np.zeros((len(self.active), len(self.size), p.shape[1]))
         a[0] = 1
-        for j in range(1, longest + 1):
+        for j in range(1, len(self.active)):
             n = self.active[j]
-            for length in range(1, min(LONGEST, j) + 1):
+            for length in range(1, min(self.longest, j) + 1):
                 number = self.found[length - 1][self.first[:n] + j - length]
                 hit = np.flatnonzero(number != len(p) - 1)
                 if len(hit):
@@ -159,13 +163,13 @@ class Lattice:
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected count of each piece in each language, words counting ``weight`` (words x languages)."""
         a = self.forward(p)
-        w = weight[self.order] / np.maximum(a[self.size, np.arange(len(self.size))], 1e-300)
+        w = weight[self.order] / a[self.size, np.arange(len(self.size))]
         b = np.zeros_like(a)
         b[self.size, np.arange(len(self.size))] = 1
         out = np.zeros_like(p)
         for j in range(len(self.active) - 1, 0, -1):
             n = self.active[j]
-            for length in range(1, min(LONGEST, j) + 1):
+            for length in range(1, min(self.longest, j) + 1):
                 number = self.found[length - 1][self.first[:n] + j - length]
                 hit = np.flatnonzero(number != len(p) - 1)
                 if len(hit):
@@ -175,6 +179,103 @@ class Lattice:
         return out
 
 
+#: Numbers of one block of a march, and places between two changes of scale.
+_BLOCK, _RESCALE = 1 << 18, 16
+
+
+class March:
+    """Long words, longest first, place by place and all at once. A window of places and their pieces is in memory, not the words' lattices."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> None:
+        self.data, self.pieces, self.order = data, pieces, np.argsort(begin - end, kind="stable")
+        self.begin = begin[self.order]
+        self.size = (end - begin + 1)[self.order]
+        self.powers = np.cumprod(np.full(pieces.longest, _STEP))[::-1]
+        most = pieces.longest + _BLOCK // pieces.longest + 1
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(most - 1, _STEP)]))
+        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(most - 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))]))
+        self.lengths = np.arange(pieces.longest, 0, -1).astype(np.uint64)
+
+    def _blocks(self) -> list[tuple[int, int]]:
+        out, at, most = [], 0, int(self.size[0])
+        while at < most:
+            n = int((self.size > at).sum())
+            out.append((at, min(most, at + max(1, _BLOCK // (n * self.pieces.longest)))))
+            at = out[-1][1]
+        return out
+
+    def _numbers(self, at: int, upto: int) -> np.ndarray:
+        """Numbers of the pieces that end after places ``at:upto`` (places x lengths, longest first, x words)."""
+        n, back = int((self.size > at).sum()), self.pieces.longest
+        place = np.arange(at - back, upto)
+        where = np.minimum(self.begin[:n, None] + np.maximum(place - 1, 0), len(self.data) - 1)
+        byte = np.where(place == 0, np.uint8(32), self.data[where])
+        term = np.where(place >= 0, _BYTES[byte], np.uint64(0))
+        # A hash of all bytes up to each place, by sums of bytes over powers; a piece's own is a difference of two.
+        whole = np.zeros((n, len(place) + 1), np.uint64)
+        np.cumsum(term * self.inverse[: len(place)], axis=1, out=whole[:, 1:])
+        whole[:, 1:] *= self.power[: len(place)]
+        before = sliding_window_view(whole[:, 1:-1], back, axis=1)
+        h = whole[:, back + 1 :, None] - before * self.powers + self.lengths
+        return self.pieces.find(mix64(h).ravel()).reshape(h.shape).astype(np.int32).transpose(1, 2, 0)
+
+    def _steps(self, p: np.ndarray):
+        """Yield place, window (lengths x words x languages), the pieces' chances, and the sums and their scale after the place."""
+        back = self.pieces.longest
+        sums, scale = np.zeros((back, len(self.size), p.shape[1])), np.zeros((len(self.size), p.shape[1]))
+        sums[-1] = 1
+        for at, upto in self._blocks():
+            numbers = self._numbers(at, upto)
+            n = numbers.shape[2]
+            window = np.concatenate([sums[:, :n], np.zeros((upto - at, n, p.shape[1]))])
+            scale = scale[:n]
+            for k in range(upto - at):
+                near = window[k : k + back]
+                chance = p[numbers[k]]
+                new = (near * chance).sum(axis=0)
+                window[k + back] = new
+                yield at + k, numbers[k], near, chance, new, scale
+                if (at + k) % _RESCALE == _RESCALE - 1:
+                    most = np.maximum(window[k + 1 : k + back + 1].max(axis=0), 1e-300)
+                    window[k + 1 : k + back + 1] /= most
+                    scale = scale + np.log(most)
+            sums = window[-back:]
+
+    def scores(self, p: np.ndarray) -> np.ndarray:
+        """Log-probability of each word in each language, in the order given."""
+        out = np.zeros((len(self.size), p.shape[1]))
+        ends = set(self.size.tolist())
+        for place, _, _, _, new, scale in self._steps(p):
+            if place + 1 in ends:
+                done = np.flatnonzero(self.size[: len(new)] == place + 1)
+                out[self.order[done]] = np.log(new[done]) + scale[done]
+        return out
+
+    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected count of each piece in each language; of every place the sums are kept, so give it bounded words."""
+        n, back, weight = len(self.size), self.pieces.longest, weight[self.order]
+        share: list = []
+        for place, numbers, near, chance, new, _ in self._steps(p):
+            # Given that a piece ends here, which one: the sums' scale is the same on both sides.
+            share.append((numbers, (near * chance / np.maximum(new, 1e-300)).astype(np.float32)))
+        at, out = np.zeros((back + 1, n, p.shape[1])), np.zeros_like(p)
+        for place in range(len(share) - 1, -1, -1):
+            numbers, parts = share[place]
+            here = parts.shape[1]
+            at[-1][self.size == place + 1] = weight[self.size == place + 1]
+            most = at[-1][:here] * parts
+            np.add.at(out, numbers.ravel(), most.reshape(-1, p.shape[1]))
+            at[:-1, :here] += most
+            at = np.concatenate([np.zeros((1, n, p.shape[1])), at[:-1]])
+        out[-1] = 0
+        return out
+
+
+def _split(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are short, and which are not."""
+    return np.flatnonzero(end - begin < SHORT), np.flatnonzero(end - begin >= SHORT)
+
+
 def _word_counts(languages: list[str]):
     where = {language: i for i, language in enumerate(languages)}
 
@@ -183,14 +284,17 @@ def _word_counts(languages: list[str]):
             langs = np.array([where[x] for x in batch.column(1).to_pylist()], np.int64)
             for first, last, data, starts in text_slices(batch.column(0)):
                 data = fold(data)
-                begin, end, owner = parts(data, starts)
+                begin, end, owner = spans(data, starts)
                 h = hash_spans(data, begin, end)
                 _, at, inverse = np.unique(h ^ langs[first:last][owner].astype(np.uint64), return_index=True, return_inverse=True)
-                words = [data[b:e].tobytes() for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs[first:last][owner[at]], pa.int32()), pa.array(words, pa.binary()), pa.array(np.bincount(inverse, minlength=len(at)), pa.int64())],
-                    names=["language", "word", "n"],
-                )
+                count, language = np.bincount(inverse, minlength=len(at)), langs[first:last][owner[at]]
+                rows = [
+                    (k, data[at_:min(at_ + FIT_PART, e)].tobytes(), n)
+                    for b, e, k, n in zip(begin[at].tolist(), end[at].tolist(), language.tolist(), count.tolist(), strict=True)
+                    for at_ in range(b, e, FIT_PART)
+                ]
+                ks, words, ns = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())], names=["language", "word", "n"])
 
     return run
 
@@ -203,10 +307,16 @@ def _expected(pieces: Pieces, p: np.ndarray):
                 part = batch.slice(at, 20_000)
                 words = part.column(1).to_pylist()
                 data = np.frombuffer(b"".join(words) or b"\0", np.uint8)
-                end = np.cumsum([len(w) for w in words])
+                size = np.array([len(w) for w in words], np.int64)
+                end = np.cumsum(size)
+                begin = end - size
                 weight = np.zeros((len(words), p.shape[1]))
                 weight[np.arange(len(words)), part.column(0).to_numpy()] = part.column(2).to_numpy()
-                total += Lattice(data, end - [len(w) for w in words], end, pieces).expected(p, weight)
+                short, long = _split(begin, end)
+                if len(short):
+                    total += Lattice(data, begin[short], end[short], pieces).expected(p, weight[short])
+                for few in np.array_split(long, -(-len(long) // max(1, 32 // p.shape[1]))) if len(long) else ():
+                    total += March(data, begin[few], end[few], pieces).expected(p, weight[few])
         number, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(number, pa.int32()), pa.array(language, pa.int32()), pa.array(total[number, language])], names=["piece", "language", "n"]
@@ -222,18 +332,27 @@ class Model:
     p: np.ndarray
 
     def word_scores(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        lattice = Lattice(data, begin, end, self.pieces)
-        return np.log(np.maximum(lattice.words(lattice.forward(self.p)), 1e-300))
+        """Log-probability of each word in each language."""
+        out = np.zeros((len(begin), len(self.languages)))
+        short, long = _split(begin, end)
+        for few in np.array_split(short, -(-len(short) // 20_000)) if len(short) else ():
+            lattice = Lattice(data, begin[few], end[few], self.pieces)
+            out[few] = np.log(lattice.words(lattice.forward(self.p)))
+        # Words of like length go together, so that none waits for a much longer one.
+        long = long[np.argsort(begin[long] - end[long], kind="stable")]
+        for few in np.array_split(long, -(-len(long) // 64)) if len(long) else ():
+            out[few] = March(data, begin[few], end[few], self.pieces).scores(self.p)
+        return out
 
     def text_scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log-probability of each row of a slice in each language."""
         data = fold(data)
-        begin, end, owner = parts(data, starts)
+        begin, end, owner = spans(data, starts)
         rows = len(starts) - 1
         if not len(begin):
             return np.zeros((rows, len(self.languages)))
         _, at, inverse = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
-        scores = np.concatenate([self.word_scores(data, begin[a], end[a]) for a in np.array_split(at, -(-len(at) // 20_000))])
+        scores = self.word_scores(data, begin[at], end[at])
         return np.stack([np.bincount(owner, weights=scores[inverse, k], minlength=rows) for k in range(len(self.languages))], axis=1)
 
 

@@ -123,42 +123,63 @@ def pieces():
 
 
 def sum_over_segmentations(word, p, pieces):
-    a = [1.0] + [0.0] * len(word)
+    """Log of the sum, scaled anew at each place."""
+    a, scale = [1.0] + [0.0] * len(word), 0.0
     for j in range(1, len(word) + 1):
-        for i in range(max(0, j - language.LONGEST), j):
+        for i in range(max(0, j - pieces.longest), j):
             number = pieces.find(np.array([language._key(word[i:j])], np.uint64))[0]
             if number < pieces.count:
                 a[j] += a[i] * p[number]
-    return a[-1]
+        if j % 8 == 0:
+            for i in range(max(0, j - pieces.longest), j):
+                a[i] /= a[j]
+            scale, a[j] = scale + np.log(a[j]), 1.0
+    return np.log(a[-1]) + scale
+
+
+WORDS = "The straße ÉCOLE x 東京 internationalisation characteristicallyresponsibilitiesinformation " + "東京都民は" * 30
+
+
+def test_every_piece_takes_part(pieces):
+    assert pieces.longest == 33 and pieces.find(np.array([language._key(b" information")], np.uint64))[0] < pieces.count
 
 
 def test_forward_sums_all_segmentations(pieces):
+    """Words past the old limits of 10 bytes a piece and 64 bytes a word too."""
     rng = np.random.default_rng(1)
     p = np.vstack([rng.dirichlet(np.ones(pieces.count), 2).T, np.zeros((1, 2))])
-    text = "The straße ÉCOLE x 東京 internationalisation."
-    (_, _, data, starts), = kernels.text_slices(pa.array([text]))
+    (_, _, data, starts), = kernels.text_slices(pa.array([WORDS]))
     data = language.fold(data)
-    begin, end, _ = language.parts(data, starts)
+    begin, end, _ = language.spans(data, starts)
     words = [b" " + data[b:e].tobytes() for b, e in zip(begin, end)]
-    assert words == [b" " + w.encode() for w in "the straße école x 東京 internationalisation".split()]
-    lattice = language.Lattice(data, begin, end, pieces)
-    got = lattice.words(lattice.forward(p))
+    assert words == [b" " + w.encode() for w in WORDS.lower().split()]
+    got = language.Model(["a", "b"], pieces, p).word_scores(data, begin, end)
     for k in (0, 1):
         assert np.allclose(got[:, k], [sum_over_segmentations(w, p[:, k], pieces) for w in words], rtol=1e-9)
 
 
-def test_expected_counts_are_the_derivative(pieces):
+@pytest.mark.parametrize("word", [b"thinking", b"thinking" * 9])
+def test_expected_counts_are_the_derivative(pieces, word):
     """The expected count of a piece is p d(log P)/dp."""
     rng = np.random.default_rng(2)
     p = np.vstack([rng.dirichlet(np.ones(pieces.count), 1).T, np.zeros((1, 1))])
-    data = np.frombuffer(b"thinking", np.uint8)
-    lattice = language.Lattice(data, np.array([0]), np.array([8]), pieces)
+    data, ends = np.frombuffer(word, np.uint8), (np.array([0]), np.array([len(word)]))
+    lattice = (language.Lattice if len(word) < language.SHORT else language.March)(data, *ends, pieces)
     counts = lattice.expected(p, np.ones((1, 1)))
     number = int(pieces.find(np.array([language._key(b"ing")], np.uint64))[0])
     more = p.copy()
     more[number] *= 1.001
-    rise = (np.log(lattice.words(lattice.forward(more))) - np.log(lattice.words(lattice.forward(p)))) / 0.001
-    assert counts[number, 0] == pytest.approx(float(rise[0, 0]), rel=1e-2) and counts[number, 0] > 0
+    score = lambda q: float(language.Model(["a"], pieces, q).word_scores(data, *ends)[0, 0])
+    assert counts[number, 0] == pytest.approx((score(more) - score(p)) / 0.001, rel=1e-2) and counts[number, 0] > 0
+
+
+def test_short_and_long_words_count_alike(pieces):
+    rng = np.random.default_rng(3)
+    p = np.vstack([rng.dirichlet(np.ones(pieces.count), 2).T, np.zeros((1, 2))])
+    data = np.frombuffer(b"straightforwardinformationtheword", np.uint8)
+    ends = np.array([0, 8, 26]), np.array([8, 26, 33])
+    one, two = (kind(data, *ends, pieces).expected(p, np.array([[1.0, 2], [3, 4], [5, 6]])) for kind in (language.Lattice, language.March))
+    assert np.allclose(one, two, rtol=1e-5, atol=1e-9)
 
 
 def test_op9(spark):
@@ -171,6 +192,32 @@ def test_op9(spark):
     assert len(held) > 2000 and np.mean(held) > 0.995
 
 
+def test_op9_scores_by_hand(spark, pieces):
+    """The query's predictions and scores, recomputed word by word from the model it learns."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learn(docs)
+    cache: dict = {}
+
+    def scored(word):
+        if word not in cache:
+            cache[word] = np.array([sum_over_segmentations(word, model.p[:, k], pieces) for k in range(len(model.languages))])
+        return cache[word]
+
+    got = {r["doc_id"]: r for r in rows(queries.op9_marginal_unigram_language(spark, sf_dir))}
+    short = docs.filter("length(text) < 1500").orderBy("doc_id").limit(20).collect()  # a few suffice by hand
+    for r in short:
+        text = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), r["text"])
+        words = [b" " + w for w in re.findall(rb"[a-z\x80-\xff]+", text.encode())]
+        if not re.search(r"[^\W\d_]", r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        total = sum((scored(w) for w in words), np.zeros(len(model.languages)))
+        share = np.exp(total - total.max())
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[int(total.argmax())]
+        assert got[r["doc_id"]]["score"] == pytest.approx(share.max() / share.sum(), rel=1e-6)
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs):
     model = language.learn(odd_docs)
     got = {r["doc_id"]: r["lang_pred"] for r in rows(language.predicted(odd_docs, model))}
