@@ -14,15 +14,16 @@ BROADCAST_ROWS = 20_000
 SALTS = 32
 
 
-def lookup(left: DataFrame, table: DataFrame, on: list[str], spread: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, on: list[str], spread: str, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Left-join ``table`` (at most one row a key, nulls equal nulls) and drop its keys.
 
-    The table is computed once and counted: up to ``limit`` rows it is broadcast. Beyond that each
+    The table is computed once and counted, unless ``rows`` says how many there are at most: up to ``limit`` rows it is broadcast. Beyond that each
     of its rows is copied to ``SALTS`` salts and ``left`` is dealt by key and ``hash(spread)``, so a
     key with a third of all rows still reaches ``SALTS`` tasks. A limit of 0, for rows of unbounded
     width, goes to the salts without a count.
     """
-    table, rows = compact(table) if limit else (table, 0)
+    if rows is None:
+        table, rows = compact(table) if limit else (table, 0)
     names = {c: f"__k{i}" for i, c in enumerate(on)}
     table = table.select(*(F.col(c).alias(n) for c, n in names.items()), *(c for c in table.columns if c not in names))
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
