@@ -20,8 +20,8 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", "lang", "source", "text", F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 1).cast("long").alias("size"))
     narrow = durable(narrow.select("doc_id", "lang", "source", "text_crc32", "size"))
-    dimensions = {"lang": hilbert.ordinal(F.col("lang")), "source": hilbert.ordinal(F.col("source")), "size": F.col("size")}
-    out = hilbert.hilbert_shards(narrow, dimensions, [F.col("doc_id")], SHARDS)
+    dimensions = {c: F.col(c) for c in ("lang", "source", "size")}
+    out = hilbert.hilbert_shards(narrow, dimensions, [F.col("doc_id"), F.col("text_crc32")], SHARDS)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
@@ -41,7 +41,7 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: base patterns, and long tokens that look random."""
+    """Secrets of every document: base patterns, and long tokens that look random; how many base spans look so too."""
     model = secrets.train(secrets.labelled_samples(spark))
     out = secrets.secret_spans(table(spark, sf_dir, "documents"), model)
     count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == secrets.KINDS.index(kind))).cast("long")
@@ -52,6 +52,8 @@ def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("hex").alias("n_hex"),
         F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
         secrets.listed("spans").alias("spans"),
+        F.size("markov").cast("long").alias("n_markov"),
+        F.size(F.filter("base", lambda s: s["random"])).cast("long").alias("n_random"),
     )
 
 
@@ -74,7 +76,7 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the URL of every page."""
-    return url_tree.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+    return url_tree.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template", "shared", "purity")
 
 
 def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
