@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -48,15 +50,51 @@ def test_word_hash_does_not_depend_on_place():
 # -- op1
 
 
-def test_hilbert_curve_steps_to_neighbours():
-    side = np.arange(16)
-    points = np.array(np.meshgrid(side, side)).reshape(2, -1).T
-    order = points[np.argsort(hilbert.hilbert_index(points, 4))]
-    assert sorted(hilbert.hilbert_index(points, 4)) == list(range(256))
-    assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
-    cube = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
-    order = cube[np.argsort(hilbert.hilbert_index(cube, 3))]
-    assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+@pytest.mark.parametrize("n, bits", [(1, 4), (2, 4), (3, 3), (4, 2)])
+def test_hilbert_curve_steps_to_neighbours(spark, n, bits):
+    points = list(itertools.product(range(1 << bits), repeat=n))
+    df = spark.createDataFrame(points, ", ".join(f"x{i} long" for i in range(n)))
+    order = df.withColumn("h", hilbert.curve_index([F.col(f"x{i}") for i in range(n)], bits)).orderBy("h").collect()
+    assert [r["h"] for r in order] == list(range(len(points)))
+    assert all(sum(abs(x - y) for x, y in zip(a[:n], b[:n])) == 1 for a, b in zip(order, order[1:]))
+
+
+def test_cut_points_of_many_long_strings(spark):
+    """More values than places, which differ past their first bytes only."""
+    values = [f"https://example.org/dumps/{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values * 2] + [(None,)], "v string").repartition(7)
+    cuts = hilbert.string_cuts(df, "v", 1024)
+    assert cuts == values[:: -(-3000 // 1023)] and len(cuts) < 1024
+    assert hilbert.string_cuts(df.filter("v < 'https://example.org/dumps/00050'"), "v", 1024) == values[:50]
+    got = df.select("v", hilbert.reached(F.col("v"), cuts, "string").alias("n")).distinct().collect()
+    assert {r["v"]: r["n"] for r in got} == {None: 0} | {v: sum(c <= v for c in cuts) for v in values}
+
+
+def curve_by_hand(axes, bits):
+    steps, state, out = hilbert.curve_steps(len(axes)), 0, 0
+    for level in range(bits - 1, -1, -1):
+        cell = 0
+        for x in axes:
+            cell = cell << 1 | (x >> level & 1)
+        entry = steps[state << len(axes) | cell]
+        out, state = out << len(axes) | entry & ((1 << len(axes)) - 1), entry >> len(axes)
+    return out
+
+
+def test_op1_order_by_hand(spark, sf_dir):
+    """The curve index of every row, from cut points taken by sorting."""
+    docs = documents(spark, sf_dir)
+    size = lambda d: len((d["text"] or "").encode()) + 1
+    sizes = sorted(map(size, docs))
+    cuts = {
+        "size": sorted({sizes[max(math.ceil(i / 1024 * len(sizes)) - 1, 0)] for i in range(1, 1024)}),
+        **{c: sorted({d[c] for d in docs if d[c] is not None}) for c in ("lang", "source")},
+    }
+    place = lambda c, v: math.floor((0 if v is None else sum(x <= v for x in cuts[c])) * (1024 / (len(cuts[c]) + 1)))
+    want = {d["doc_id"]: curve_by_hand([place("lang", d["lang"]), place("source", d["source"]), place("size", size(d))], 10) for d in docs}
+    got = rows(queries.op1_hilbert_shards(spark, sf_dir))
+    assert {r["doc_id"]: r["hilbert"] for r in got} == want
+    assert len(set(want.values())) > len(docs) / 2
 
 
 def check_shards(got, docs, n=8):
