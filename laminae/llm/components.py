@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) for the nodes of ``a, b``; loops are ignored.
 
     A step keeps two rows an edge at most and is written out. A node with a third of all edges is
-    summed in each task first; in the join that follows, adaptive execution splits its partition.
+    summed in each task first; in the join that follows its edges meet in one task, as adaptive
+    execution does not split a shuffle that an aggregation shares (see the README).
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges, _ = compact(edges)

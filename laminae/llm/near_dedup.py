@@ -14,10 +14,11 @@ with nothing. Two documents are linked when 100 * intersection >= percent * unio
    into blocks over many tasks. Members of one component are never compared again.
 4. What passes is confirmed on the full sets, in both 2 and 3.
 
-Rows of equal texts are one class, so copies are never expanded to pairs. Rows equal in doc_id and
-text stay or go together. Rows that repeat a doc_id
-are one node with several sets. A null doc_id takes part and is never a component's name unless no
-other is there (then null). Only doc_id and text are read.
+Rows of equal sets are one class, so copies are never expanded to pairs. A doc_id is one document:
+rows that repeat it, with equal texts or with others, are of one component, and what any of their
+texts is linked with is reachable through it (a row without words stays alone). A null doc_id takes part, row by row, and is never a
+component's name unless no other is there (then null). Texts of any length are compared whole. An
+empty table gives an empty result. Only doc_id and text are read; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that share a bucket, not a component, and that sizes and odd sketches do not rule out."""
-    # A node has a row a band at most, so its key is never hot; a hot bucket's partition is split by adaptive execution.
+    # A class has a row a band at most, so a node's key is not hot. A hot bucket's rows meet in one partition here (see the README).
     rows = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.filter("lo <> hi and m > 2").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -189,13 +190,31 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return left.join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
 
 
+def _node() -> Column:
+    """A class's name: its smallest doc_id, or without any a number from ``NAMELESS`` on."""
+    return F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
+
+
+def _repeats(signatures: DataFrame) -> DataFrame | None:
+    """Edges ``a, b`` between the classes of each doc_id that has several; None where, as is usual, none has."""
+    sets = signatures.filter("n_shingles > 0 and doc_id is not null")
+    several = sets.groupBy("doc_id").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least <> most").select("doc_id")
+    several, n = compact(several)
+    if not n:
+        return None
+    named = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(_node().alias("node"))
+    rows = sets.join(several, "doc_id", "left_semi").select("doc_id", "lo", "hi").distinct().join(named, ["lo", "hi"])
+    # A class's name is a doc_id of it, so a doc_id and the names of its classes are one star.
+    return rows.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+
+
 def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
     """``node, component`` of the classes that are linked with another class."""
-    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
+    node = _node()
     classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("node", "lo", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("__last")).filter("hub <> __last").drop("__last")
-    members = durable(rows.join(hubs, "band"))  # adaptive execution splits the partition of a hot bucket
+    members = durable(rows.join(hubs, "band"))
     known, n_known = compact(members.select("node").distinct())
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(
@@ -204,7 +223,10 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
         )
     )
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    edges, _ = compact(confirmed(compact(stars)[0], sets, percent))
+    edges = confirmed(compact(stars)[0], sets, percent)
+    if (repeats := _repeats(signatures)) is not None:
+        edges = edges.unionByName(repeats)
+    edges, _ = compact(edges)
     labels, _ = compact(components(edges))
     rest, n_rest = compact(_open_pairs(members.drop("hub"), labels, sets, percent))
     if not n_rest:
@@ -226,8 +248,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     signatures = durable(arrow_map(narrow, _signatures(k), "doc_id long, key long, n_shingles long, lo long, hi long, bands array<long>"))
     linked, _ = compact(links(docs, signatures, k, percent))
-    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS).bitwiseOR(F.first("lo").bitwiseAND(F.lit((1 << 61) - 1))))
-    classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(node.alias("node"), F.count("*").alias("size"))
+    classes = signatures.filter("n_shingles > 0").groupBy("lo", "hi").agg(_node().alias("node"), F.count("*").alias("size"))
     # Only classes of several documents, or linked with others, have anything to look up.
     classes = classes.join(linked, "node", "left").filter("size > 1 or component is not null")
     classes = classes.select("lo", "hi", F.coalesce("component", "node").alias("component"))

@@ -31,6 +31,11 @@ def by_hand(docs, k, percent=80):
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    first = {}
+    for i, d in enumerate(docs):
+        if d["doc_id"] is not None and sets[i]:
+            a, b = find(i), find(first.setdefault(d["doc_id"], i))
+            root[max(a, b)] = min(a, b)
     least = {}
     for i, d in enumerate(docs):
         if d["doc_id"] is not None:
@@ -120,3 +125,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for k in (1, 2, 5):
         assert got(near_dedup.near_duplicates(odd_docs, k=k)) == by_hand(rows(odd_docs), k)
     assert near_dedup.near_duplicates(no_docs).collect() == []
+
+
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta " * 2, "uno dos tres quatro cinco seis siete ocho " * 2, "un deux trois quatre cinq six sept huit " * 2)
+    data = [(1, a), (5, a), (2, b), (5, b), (9, c), (9, b + "nueve"), (4, c), (7, None), (7, a + "iota"), (8, "else where"), (None, c)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = near_dedup.near_duplicates(docs, k=2)
+    assert got(out) == by_hand(rows(docs), 2)
+    assert {r["component_id"] for r in rows(out.filter("doc_id in (1, 2, 4, 5, 9)"))} == {1}
