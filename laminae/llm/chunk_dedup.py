@@ -9,7 +9,8 @@ once and never shuffled: only recipes move, some 24 bytes for each KB of text.
 
 A null text counts as empty; the empty text has an empty list, so all empty texts are equal. Rows
 that repeat a doc_id with one text stay or go together. A group whose doc_ids are all null keeps
-null. Only the columns doc_id and text are read; further columns do not matter.
+null. Ties: the smallest doc_id stays. An empty table gives an empty result. Texts of any length are
+cut and compared whole. Only the columns doc_id and text are read; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -137,12 +138,22 @@ def verified_lists(recipes: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, n_bytes, n_chunks`` for every row of ``docs``.
 
-    ``keep_id`` is the smallest doc_id among documents with the same list of identifiers; the digest
-    of the whole text follows as an exact check.
+    ``keep_id`` is the smallest doc_id among documents with the same list of verified identifiers. The
+    digests of the whole texts follow as an exact check: should the texts of one list differ after
+    all, their digests join the key.
     """
     lists = verified_lists(durable(chunk_recipes(docs)))
-    key = ["ids", "text_sha256"]
-    groups = lists.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+
+    def repeated(key: list[str]) -> DataFrame:
+        of = lists.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("text_sha256").alias("lo"), F.max("text_sha256").alias("hi"))
+        return durable(of.filter("group_size > 1"))
+
+    key = ["ids"]
+    groups = repeated(key)
+    if not groups.filter("lo <> hi").isEmpty():
+        key = ["ids", "text_sha256"]
+        groups = repeated(key)
+    groups = groups.drop("lo", "hi")
     out = lookup(lists, groups, key, "doc_id", limit=0)  # a long document's list is long
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
