@@ -41,7 +41,7 @@ ORACLES: dict[str, str] = {
                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
         b AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
         bw AS (
             SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS gram
             FROM (SELECT item_id, words, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
@@ -51,7 +51,7 @@ ORACLES: dict[str, str] = {
         hits AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, gram)),
         covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1)
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",

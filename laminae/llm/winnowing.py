@@ -26,10 +26,9 @@ from . import bitmap
 from .arrow import arrow_map
 from .durable import durable
 from .kernels import ALNUM, LOWER, gram_hashes, hash_spans, mix64, text_slices, word_spans
+from .lookup import lookup
 
 WINDOW, GRAM = 10, 5
-#: Copies of the window table, over which the occurrences of one frequent window are dealt.
-SALTS = 32
 
 
 def window_fingerprints(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -134,17 +133,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
     """
     table = durable(benchmark_windows(benchmark))
     lengths = sorted(r[0] for r in table.select("length").distinct().collect())  # 10 at most
-    known = bitmap.build(table, F.col("fingerprint"), table.count())
+    n_windows = table.count()
+    known = bitmap.build(table, F.col("fingerprint"), n_windows)
     narrow = docs.select(*(F.col(k) for k in keys), F.col("text"))
     schema = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
     rows = arrow_map(narrow, _document_windows(known, lengths), f"{schema}, {_HITS_DDL}").withColumn("__row", F.monotonically_increasing_id())
     rows = rows.select(*keys, "__row", "n_words", F.explode_outer("hits").alias("h")).select(*keys, "__row", "n_words", "h.*")
     # A row without a window goes by its own number, not to the partition of null.
     rows = rows.withColumn("words", F.coalesce("words", F.concat(F.lit("\0"), F.col("__row").cast("string"))))
-    rows = rows.withColumn("__salt", F.pmod("__row", F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    window = table.select(F.col("words").alias("__words"), salts.alias("__to"), F.array_join("items", ",").alias("items"))
-    rows = rows.join(window, (F.col("words") == F.col("__words")) & (F.col("__salt") == F.col("__to")), "left")
+    window = table.select("words", F.array_join("items", ",").alias("items"))
+    rows = lookup(rows, window, ["words"], "__row", rows=n_windows)
     hit = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("length")).alias("end")))
     per = rows.groupBy("__row").agg(
         *(F.first(k).alias(k) for k in keys),
