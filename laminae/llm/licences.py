@@ -1,18 +1,22 @@
 r"""Licence scans by sentence rules, in DataFrame operations alone.
 
 A text is normalised (lower-cased, every run of other characters than letters, digits and bytes
-above ASCII made one space, ends of sentences and lines marked) and known licence sentences are
-found between ends, also where they are wrapped over lines. A document's ordered identifiers are
-then matched against the ordered rules: a rule holds when its identifiers occur in its order, with or
-without others between them. All of it happens within a row: no shuffle, and a sentence that a third
-of all documents share costs nothing more.
-
-A null text has no sentences. Rows that repeat are rows of their own. Only doc_id and text are read.
+above ASCII made one space, ends of sentences and lines marked; so comment marks go with the spaces)
+and known licence sentences are found between ends, also where they are wrapped over lines. A
+document's ordered identifiers are then matched against the ordered rules: a rule holds when its
+identifiers occur in its order, with or without others between them, unless a rule of another
+licence that holds has them all and more. All of it happens within a row: no shuffle, and a sentence
+that a third of all documents share costs nothing more.
+
+A null or empty text has no sentences. Texts of any length are scanned whole, in one pass a pattern.
+Rows that repeat are rows of their own; an empty table gives an empty result. Only doc_id and text are
+read; further columns, of clashing names too, do not matter.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,22 @@ SENTENCES: dict[str, str] = {
     "cc-by-notice": "Licensed under CC BY 4.0",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
     "cc0-notice": "Released under CC0 1.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved",
 }
@@ -62,7 +82,19 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
     ("CC0-1.0", ("cc0-notice",)),
     ("MPL-2.0", ("mpl-notice",)),
-    ("proprietary", ("reserved",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-title",)),
 ]
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,7 +154,11 @@ def licence_matches(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rule
     known = catalogue(sentences)
     rows = docs.select("doc_id", sentence_ids(F.col("text"), known).alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    held = [F.when(line.rlike(ordered_pattern(ids)), F.lit(licence)) for licence, ids in expanded(rules, known)]
+    meets = lambda ids: line.rlike(ordered_pattern(ids))
+    parts = expanded(rules, known)
+    # A rule gives way to those of other licences that ask for all it asks for and more.
+    wider = lambda mine, ids: [i for other, i in parts if other != mine and len(i) > len(ids) and re.search(ordered_pattern(ids), f",{','.join(i)},")]
+    held = [F.when(reduce(lambda a, b: a & ~b, map(meets, wider(licence, ids)), meets(ids)), F.lit(licence)) for licence, ids in parts]
     return rows.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*held)))))
 
 

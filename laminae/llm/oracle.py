@@ -13,28 +13,34 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_LIST = "[" + ", ".join(map(_quoted, licences.catalogue())) + "]"
-_NAMES = "[" + ", ".join(map(_quoted, licences.catalogue().values())) + "]"
-_HELD = ", ".join(
-    f"CASE WHEN regexp_matches(line, {_quoted(licences.ordered_pattern(ids))}) THEN {_quoted(name)} END"
-    for name, ids in licences.expanded(licences.RULES, licences.catalogue())
-)
+_SENTENCES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licences.SENTENCES.items())
+_RULES = ", ".join(f"({i}, {_quoted(licence)}, [{', '.join(map(_quoted, ids))}])" for i, (licence, ids) in enumerate(licences.RULES))
 
 ORACLES: dict[str, str] = {
     "op2_chunk_recipe_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    # From the catalogue's sentences and rules as they stand; how they are cut, matched and ranked is said again here.
     "op5_licence_rules": rf"""
-        WITH s AS (
-            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{licences.BOUNDARY}'),
-                lambda x: trim(regexp_replace(x, '{licences.NOT_WORD}', ' ', 'g'), ' ')), lambda x: list_contains({_LIST}, x)) AS found
-            FROM documents),
-        n AS (SELECT doc_id, list_transform(found, lambda x: {_NAMES}[list_position({_LIST}, x)]) AS ids FROM s),
-        l AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS line FROM n)
-        SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-               coalesce(array_to_string(list_sort(list_distinct(list_filter([{_HELD}], lambda x: x IS NOT NULL))), ','), '') AS licences
-        FROM l""",
+        WITH s(name, text) AS (VALUES {_SENTENCES}), rule(nr, licence, names) AS (VALUES {_RULES}),
+        cut AS (SELECT name, list_filter(list_transform(regexp_split_to_array(lower(text), '[.!?]+[\x09-\x0D\x20]+|[\x0A-\x0D]+'),
+                    lambda x: trim(regexp_replace(x, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')), lambda x: x <> '') AS forms FROM s),
+        part AS (SELECT name, unnest(range(1, len(forms) + 1)) AS i, len(forms) AS n, unnest(forms) AS form FROM cut),
+        known AS (SELECT name, i, form, name || CASE WHEN n > 1 THEN '.' || i ELSE '' END AS id FROM part),
+        step AS (SELECT nr, licence, unnest(range(1, len(names) + 1)) AS pos, unnest(names) AS name FROM rule),
+        asks AS (SELECT nr, licence, count(*) AS n, ',' || string_agg(id, ',' ORDER BY pos, i) || ',' AS line,
+                    ',' || string_agg(replace(id, '.', '[.]'), ',(.*,)?' ORDER BY pos, i) || ',' AS pattern FROM step JOIN known USING (name) GROUP BY 1, 2),
+        wider AS (SELECT a.nr, b.nr AS beyond FROM asks a JOIN asks b ON a.licence <> b.licence AND b.n > a.n AND regexp_matches(b.line, a.pattern)),
+        d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.!?]+[\x09-\x0D\x20]+|[\x0A-\x0D]+'),
+                    lambda x: trim(regexp_replace(x, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')) AS forms FROM documents),
+        u AS (SELECT r, unnest(range(1, len(forms) + 1)) AS pos, unnest(forms) AS form FROM d),
+        found AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM u JOIN known USING (form) GROUP BY r),
+        held AS (SELECT r, nr, licence FROM found JOIN asks ON regexp_matches(',' || ids || ',', pattern)),
+        names AS (SELECT r, string_agg(licence, ',' ORDER BY licence) AS licences FROM (SELECT DISTINCT r, licence FROM held h
+                    WHERE NOT EXISTS (SELECT 1 FROM held o JOIN wider w ON w.beyond = o.nr WHERE o.r = h.r AND w.nr = h.nr)) GROUP BY r)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
+        FROM d LEFT JOIN found USING (r) LEFT JOIN names USING (r)""",
     "op10_winnowing": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
