@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset, a folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, in local mode alone, a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="laminae-checkpoint-")
         atexit.register(shutil.rmtree, configured, True)
     sc.setCheckpointDir(configured)
@@ -43,10 +45,15 @@ def compact(df: DataFrame) -> tuple[DataFrame, int]:
     return df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK))), rows
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it: for wide rows."""
+def write_table(df: DataFrame) -> str:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder: for wide rows."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

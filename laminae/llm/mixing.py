@@ -81,8 +81,8 @@ def systematic_copies(df: DataFrame, stratum: str, size: str, expected: Column,
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """Documents with ``size``, their number of words."""
-    return docs.withColumn("size", word_count(F.col("text")))
+    """Documents with ``size``, their number of words, and ``text_tie``, which orders documents of one doc_id (or none)."""
+    return docs.withColumns({"size": word_count(F.col("text")), "text_tie": F.xxhash64("text")})
 
 
 def mix_plan(sized: DataFrame, seed: int = 0) -> DataFrame:
@@ -95,7 +95,9 @@ def mix_plan(sized: DataFrame, seed: int = 0) -> DataFrame:
     rows = totals.agg(F.sum("n")).first()[0] or 0
     planned = lookup(sized, source_targets(totals.drop("n")), ["source"], "doc_id")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return systematic_copies(planned, "source", "size", expected, [F.col("doc_id")], rows, seed)
+    # By the text too, where it is known, so that rows without an id are not one group.
+    tie = [F.col(c) for c in ("doc_id", "text_tie") if c in sized.columns]
+    return systematic_copies(planned, "source", "size", expected, tie, rows, seed).drop("text_tie")
 
 
 def emit_copies(planned: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix with targets by source takes of every document."""
     sized = mixing.with_size(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    plan = mixing.mix_plan(durable(sized.select("doc_id", "source", "size")))
+    plan = mixing.mix_plan(durable(sized.select("doc_id", "source", "size", "text_tie")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

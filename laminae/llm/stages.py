@@ -24,11 +24,21 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose text the discriminant, learned from the labels, scores 0.5 or more.
+
+    A null or empty text is scored as it is; rows of equal texts go or stay together. Without labels
+    of both classes every score is the share of label 1, so all rows stay or go. An empty table gives
+    an empty one, and further columns pass through.
+    """
     return quality.accepted(docs, quality.learn(quality.measured(docs), labels))
 
 
 def keep_one_of_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Exactly one row of each group of near copies: of the smallest doc_id, and of rows equal in doc_id and text one."""
+    """Exactly one row of each group of near copies: of the smallest doc_id, and of rows equal in doc_id and text one.
+
+    Rows without words are in no group but that of their doc_id and text. An empty table gives an
+    empty one, and further columns pass through.
+    """
     rows = near_dedup.grouped(docs, k, percent).groupBy("group", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     keys, _ = compact(rows)
     other = F.coalesce(F.col("doc_id") != F.col("group"), F.lit(True))
@@ -46,12 +56,22 @@ def keep_one_of_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that hold no window of a benchmark item, items without an id included.
+
+    A null or empty text holds none. Rows equal in doc_id and text go or stay together. Without
+    items, or of an empty table, all rows stay; further columns pass through.
+    """
     keyed = docs.select(near_dedup.row_key().alias("key"), "text")
     return without(docs, winnowing.contaminated(keyed, benchmark, ("key",)).filter("n_hit > 0").select("key"))
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """Documents as often as the mix takes them; a second copy is a second row."""
+    """Documents as often as the mix takes them; a second copy is a second row.
+
+    A null source is a source; null and empty texts have no words, and a copy of them is taken or not
+    as the sum of expected copies has it. Rows that repeat are documents of their own. An empty table
+    gives an empty one; all columns, of clashing names too, pass through.
+    """
     names = docs.columns
     inner = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"))
     plan = mixing.mix_plan(mixing.with_size(inner).drop("text"), seed)
