@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents; a document that the mix takes twice is two rows.
+
+Nulls are allowed in every column: a null text is an empty one, a null doc_id is a document by
+itself, a null source is a source. Rows that repeat are judged alike by the quality and the
+decontamination stage, and are one group in the near-dedup stage, of which one row stays. Texts of any
+length are taken whole. Ties are settled by doc_id, then by the row's content. An empty table gives
+empty results, and further columns of documents pass through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from laminae.llm import hilbert, stages
-from laminae.llm.durable import written
+from laminae.llm.durable import remove_table, write_table
 from laminae.llm.tables import table
 
 SHARDS = 8
@@ -53,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; a stage's table goes when the next one's is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, path = path, write_table(stage(spark, docs, sf_dir))
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_table(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
