@@ -1,6 +1,6 @@
 """Layered tables on Spark: a read-only source merged at read time with a base of local edits."""
 
-from .errors import IntegrityViolation, LayerConfigError, NotOverridable, RedundantUpdate, SwapRefused
+from .errors import IntegrityViolation, LayerConfigError, MultipleRows, NotOverridable, RedundantUpdate, SwapRefused
 from .operators.layer import LayeredTable
 from .spec import LayerSpec, RedundantPolicy, Relation, SourceSpec, Strategy, Unique
 
@@ -9,6 +9,7 @@ __all__ = [
     "LayerConfigError",
     "LayerSpec",
     "LayeredTable",
+    "MultipleRows",
     "NotOverridable",
     "RedundantPolicy",
     "RedundantUpdate",

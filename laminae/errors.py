@@ -13,6 +13,10 @@ class RedundantUpdate(RuntimeError):
     """An update that changes nothing, under the policy ``raise``."""
 
 
+class MultipleRows(RuntimeError):
+    """Values that should name one row of a view name several."""
+
+
 class IntegrityViolation(RuntimeError):
     """Rows that break a constraint; ``kind`` is ``foreign key``, ``unique``, ``primary key`` or ``check``."""
 

@@ -44,14 +44,22 @@ def lookup(column: Column, kind: str, value) -> Column:
     return simple[kind]()
 
 
+#: Distinct keys of 8 to 36 bytes that may be broadcast.
+BROADCAST_KEYS = 200_000
+
+
 def in_keys(df: DataFrame, column: str, keys: DataFrame, small: bool = False) -> DataFrame:
     """Rows whose ``column`` is among the first column of ``keys``: a semi-join, so rows never multiply.
 
-    ``small`` states that the caller has bounded ``keys``; they are then broadcast.
+    ``small`` says that the keys are likely few: they are counted, up to ``BROADCAST_KEYS``, and broadcast if they are.
     """
     key = keys.columns[0]
     keys = keys.select(F.col(key).alias("__key"))
-    return df.join(F.broadcast(keys.distinct()) if small else keys, F.col(column) == F.col("__key"), "left_semi")
+    if small:
+        few = keys.distinct()
+        if few.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            keys = F.broadcast(few)
+    return df.join(keys, F.col(column) == F.col("__key"), "left_semi")
 
 
 def not_in_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:

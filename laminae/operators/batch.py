@@ -1,7 +1,9 @@
 """Several changes published as one.
 
 Uniqueness and checks hold after each operation, references when the batch commits, so a row may be
-inserted and deleted again within one. Rows that go before the commit are not checked.
+inserted and deleted again within one. Only what a batch changes is checked: rows that are new to
+the view or have other values in the columns of a constraint, and keys that have left the view.
+What was wrong before and is not touched does not stop a change.
 """
 
 from __future__ import annotations
@@ -25,46 +27,55 @@ class Batch:
         self.before, self.layers, self.relations, self.plain = dict(layers), dict(layers), list(relations), plain or {}
 
     def apply(self, table: str, operation: Callable[..., Change], *args, **how) -> Change:
-        change = operation(self.layers[table], *args, **how)
+        before = self.layers[table]
+        change = operation(before, *args, **how)
         layer = change.layer
         for unique in layer.spec.unique:
-            for what, rows in (("in the base", integrity.base_duplicates(layer, unique)), ("with the source", integrity.source_collisions(layer, unique, change.matched))):
+            changed = integrity.changed_rows(before, layer, integrity.watched_columns(layer, unique))
+            for what, rows in (("in the base", integrity.base_duplicates(layer, unique, changed)), ("with the source", integrity.source_collisions(layer, unique, changed))):
                 if found := rows.limit(5).collect():
                     raise IntegrityViolation("unique", f"{table} {unique.columns} {what}", found)
         for condition in layer.spec.checks:
-            if found := integrity.failed_checks(layer, condition).limit(5).collect():
+            changed = integrity.changed_rows(before, layer, list(layer.spec.columns))
+            if found := integrity.failed_checks(layer, condition, changed).limit(5).collect():
                 raise IntegrityViolation("check", f"{table}: {condition}", found)
         self.layers[table] = layer
         return change
 
+    def _changed(self, table: str) -> bool:
+        return table in self.layers and self.layers[table] is not self.before[table]
+
     def violations(self) -> dict[str, DataFrame]:
-        """For each enforced relation whose tables changed, the rows that name nothing."""
+        """For each enforced relation whose tables changed, the rows that name nothing.
+
+        ``from.column`` has the changed rows of the referring base, ``from.column (deleted)`` all
+        rows that name a key which has left the view; a relation of a table to itself has both.
+        """
         out = {}
-        for r in self.relations:
-            changed = [t for t in (r.from_table, r.to_table) if t in self.layers and self.layers[t] is not self.before[t]]
-            if not r.enforced or not changed:
-                continue
+        for r in (r for r in self.relations if r.enforced):
+            name = f"{r.from_table}.{r.column}"
             target = self.layers[r.to_table].rows() if r.to_table in self.layers else self.plain[r.to_table]
             pk = self.layers[r.to_table].spec.pk if r.to_table in self.layers else target.columns[0]
-            if r.from_table in self.layers:
+            if self._changed(r.from_table):
                 # Source rows are the vendor's: only rows of the base are answered for.
-                refs = self.layers[r.from_table].live_base()
-            else:
-                refs = self.plain[r.from_table]
-            if changed == [r.to_table]:
-                before = self.before[r.to_table].rows()
-                refs = self.layers[r.from_table].rows() if r.from_table in self.layers else refs
-                out[f"{r.from_table}.{r.column}"] = integrity.broken_references(refs, r.column, before, target, pk)
-            else:
-                out[f"{r.from_table}.{r.column}"] = integrity.dangling(refs, r.column, target, pk)
+                child = self.layers[r.from_table]
+                keys = integrity.changed_rows(self.before[r.from_table], child, [r.column])
+                refs = child.live_base().join(keys.select(F.col(child.spec.pk).alias("__c")), F.col(child.spec.pk) == F.col("__c"), "left_semi")
+                out[name] = integrity.dangling(refs, r.column, target, pk)
+            if self._changed(r.to_table):
+                refs = self.layers[r.from_table].rows() if r.from_table in self.layers else self.plain[r.from_table]
+                out[f"{name} (deleted)"] = integrity.broken_references(refs, r.column, self.before[r.to_table].rows(), target, pk)
         return out
 
-    def commit(self, publish: Callable[[str, LayeredTable], object] | None = None) -> dict[str, LayeredTable]:
-        """Check references on the final state, then hand each changed layer to ``publish``."""
+    def commit(self, publish: Callable[[dict[str, LayeredTable]], object] | None = None) -> dict[str, LayeredTable]:
+        """Check references on the final state, then hand all changed layers to one call of ``publish``.
+
+        ``SnapshotSet.publish`` makes them visible by one manifest, so that all of a batch is seen or none.
+        """
         for name, rows in self.violations().items():
-            if found := rows.select(*(F.col(c) for c in rows.columns)).limit(5).collect():
+            if found := rows.limit(5).collect():
                 raise IntegrityViolation("foreign key", name, found)
-        for table, layer in self.layers.items():
-            if publish is not None and layer is not self.before[table]:
-                publish(table, layer)
+        changed = {t: layer for t, layer in self.layers.items() if self._changed(t)}
+        if publish is not None and changed:
+            publish(changed)
         return self.layers

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IntegrityViolation
+from ..sources.settle import settled
 from ..spec import Relation
 from . import changes
 from .layer import LayeredTable
@@ -23,27 +26,44 @@ def _but(keys: DataFrame, known: DataFrame | None) -> DataFrame:
     return keys.join(known.select(F.col(known.columns[0]).alias("__known")), F.col(pk) == F.col("__known"), "left_anti")
 
 
+#: Steps whose keys are kept apart before they are written as one.
+STEPS = 8
+
+
 def doomed_keys(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame) -> dict[str, DataFrame]:
     """The keys, by table, that go when ``keys`` of ``table`` go and ``cascade`` relations are followed to the end.
 
-    A step adds only keys that were not there, so relations may form loops. It costs one small job
-    for each relation and step; steps are as many as the longest chain of referring rows.
+    A step adds only keys that were not there, so relations may form loops. Its keys are written
+    once, so a step costs its own rows and not those before it; steps are as many as the longest
+    chain of referring rows. A relation that is followed again has its keys written, narrow, first.
     """
     start = layers[table].rows().join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(layers[table].spec.pk) == F.col("__k"), "left_semi")
-    doomed = {table: start.select(layers[table].spec.pk)}
-    fresh = dict(doomed)
-    while fresh:
-        found: dict[str, DataFrame] = {}
+    found = {table: settled(start.select(layers[table].spec.pk))}
+    doomed: dict[str, list[DataFrame]] = {name: [k] for name, k in found.items()}
+    refs: dict[tuple[str, str], DataFrame] = {}
+    written: set[tuple[str, str]] = set()
+    together = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    while found:
+        fresh, found = found, {}
         for r in relations:
             if r.on_delete != "cascade" or r.to_table not in fresh or r.from_table not in layers:
                 continue
-            named = _but(_naming(layers[r.from_table], r.column, fresh[r.to_table]), doomed.get(r.from_table))
+            child, at = layers[r.from_table], (r.from_table, r.column)
+            if at not in refs:
+                refs[at] = child.rows().select(child.spec.pk, r.column)
+            elif at not in written:
+                refs[at] = settled(refs[at])
+                written.add(at)
+            named = refs[at].join(fresh[r.to_table].select(F.col(fresh[r.to_table].columns[0]).alias("__k")), F.col(r.column) == F.col("__k"), "left_semi")
+            known = [*doomed.get(r.from_table, ()), *([found[r.from_table]] if r.from_table in found else [])]
+            named = named.select(child.spec.pk)
+            named = settled(_but(named, together(known)) if known else named)
             if not named.isEmpty():
-                found[r.from_table] = named.unionByName(found[r.from_table]).distinct() if r.from_table in found else named
+                found[r.from_table] = found[r.from_table].unionByName(named) if r.from_table in found else named
         for name, more in found.items():
-            doomed[name] = doomed[name].unionByName(more) if name in doomed else more
-        fresh = found
-    return doomed
+            parts = [*doomed.get(name, ()), more]
+            doomed[name] = [settled(together(parts).coalesce(8))] if len(parts) > STEPS else parts
+    return {name: together(parts) for name, parts in doomed.items()}
 
 
 def delete_cascade(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame) -> dict[str, LayeredTable]:

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import IntegrityViolation, LayerConfigError, NotOverridable, RedundantUpdate
+from ..errors import IntegrityViolation, LayerConfigError, MultipleRows, NotOverridable, RedundantUpdate
 from ..functions.ids import with_new_keys
 from ..functions.predicates import any_distinct
-from ..spec import DELETED, RedundantPolicy
+from ..spec import DELETED, ORIGIN, RedundantPolicy
 from .layer import LayeredTable
 
 
@@ -58,7 +58,8 @@ def insert(layer: LayeredTable, rows: DataFrame, order_by: list[str] | None = No
     """Add rows; null keys are generated, in ``order_by``'s order where keys are a sequence.
 
     A key that the base holds, a tombstone's included, is refused. A source row's key makes an
-    override, or is refused where source rows cannot be overridden.
+    override, or is refused where source rows cannot be overridden. Generated keys are written once,
+    so the keys of ``matched`` are those of the layer that follows.
     """
     spec = layer.spec
     if spec.pk not in rows.columns:
@@ -102,11 +103,22 @@ def update(layer: LayeredTable, where: Column | DataFrame, assign: dict[str, Col
     seen = view.filter(where) if isinstance(where, Column) else view.join(_keys(where, where.columns[0]), F.col(spec.pk) == F.col("__changed"), "left_semi")
     new = {c: e.cast(layer.base.schema[c].dataType) for c, e in assign.items()}
     seen = seen.withColumns({f"__n_{c}": e for c, e in new.items()})
+    return _write(layer, seen, list(assign), policy)
+
+
+def refuse_source_rows(layer: LayeredTable, seen: DataFrame) -> None:
+    """Raise where rows of the view that a change would write are source rows that cannot be overridden."""
+    if not layer.spec.overridable and (found := seen.filter(F.col(ORIGIN) == "source").select(layer.spec.pk).limit(5).collect()):
+        raise NotOverridable(f"{layer.spec.name}: {found} are source rows")
+
+
+def _write(layer: LayeredTable, seen: DataFrame, assign: list[str], policy: RedundantPolicy) -> Change:
+    """Write view rows ``seen``, which hold the new value of each column of ``assign`` as ``__n_<column>``."""
+    spec = layer.spec
     compared = [c for c in assign if c not in policy.ignore]
     seen = seen.withColumn("__real", any_distinct((F.col(c), F.col(f"__n_{c}")) for c in compared))
-    from_source = F.col("_overlay_origin") == "source"
-    if not spec.overridable and not (bad := seen.filter(from_source).select(spec.pk).limit(5)).isEmpty():
-        raise NotOverridable(f"{spec.name}: {bad.collect()} are source rows")
+    from_source = F.col(ORIGIN) == "source"
+    refuse_source_rows(layer, seen)
     governed = ~F.col("__real") & (from_source if policy.scope == "source_only" else F.lit(True))
     matched = seen.select(spec.pk)
     if policy.mode in ("warn", "raise"):
@@ -114,8 +126,9 @@ def update(layer: LayeredTable, where: Column | DataFrame, assign: dict[str, Col
         if idle and policy.mode == "raise":
             raise RedundantUpdate(f"{spec.name}: {idle} would not change")
         if idle:
-            warnings.warn(f"{spec.name}: {idle} are not changed by the update", RuntimeWarning, stacklevel=2)
-    taken = seen if policy.mode in ("materialize", "warn") else seen.filter(~governed)
+            warnings.warn(f"{spec.name}: {idle} would not change and are left as they are", RuntimeWarning, stacklevel=3)
+    # To warn is to skip, and say so.
+    taken = seen if policy.mode == "materialize" else seen.filter(~governed)
     result = taken.select(*(F.col(f"__n_{c}").alias(c) if c in assign else F.col(f"`{c}`") for c in spec.columns))
     base = _without(layer.base, taken.select(spec.pk), spec.pk).unionByName(_stored(layer, result))
     changed = any_distinct((F.col(c), F.col(f"__n_{c}")) for c in assign)
@@ -162,24 +175,44 @@ def reset_to_source(layer: LayeredTable, keys: DataFrame) -> Change:
     return Change(layer.replaced(_without(layer.base, keys, keys.columns[0]) if keys.columns[0] == pk else _without(layer.base, keys.toDF(pk), pk)), _event(gone, pk, "reset"), gone.select(pk))
 
 
+def _once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each combination of ``by`` values, nulls equal nulls: of rows that repeat them the greatest by the other columns."""
+    others = [c for c in rows.columns if c not in by]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(*by).agg(F.max(F.struct(*others)).alias("__r")).select(*by, "__r.*").select(*rows.columns)
+
+
+def _named_twice(seen: DataFrame, columns: list[str], name: str) -> None:
+    if found := seen.groupBy(*columns).count().filter("count > 1").limit(5).collect():
+        raise MultipleRows(f"{name}: {found}")
+
+
 def get_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], **how) -> Change:
-    """Insert the rows whose ``by`` values no view row has; source rows count as present."""
+    """Insert the rows whose ``by`` values no view row has, once for each; source rows count as present."""
     present = layer.rows().select(*(F.col(c).alias(f"__b_{c}") for c in by))
     same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by]
-    return insert(layer, rows.join(present, same, "left_anti"), **how)
+    return insert(layer, _once(rows, by).join(present, same, "left_anti"), **how)
 
 
-def update_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], **how) -> Change:
-    """Set the other columns of ``rows`` on the view rows with their ``by`` values; insert the rest."""
-    spec = layer.spec
+def update_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], policy: RedundantPolicy | None = None, **how) -> Change:
+    """Set the other columns of ``rows`` on the view rows with their ``by`` values; insert the rest.
+
+    Of rows that repeat their ``by`` values one counts. Several view rows of one combination are
+    refused, and so are source rows that cannot be overridden. Rows that would not change follow the
+    policy, as in ``update``.
+    """
+    spec, policy = layer.spec, policy or layer.spec.redundant
+    rows = _once(rows, by)
     values = [c for c in rows.columns if c not in by and c != spec.pk]
-    wanted = rows.select(*(F.col(c).alias(f"__w_{c}") for c in [*by, *values]))
-    found = layer.rows().join(wanted, [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in by])
-    merged = found.select(*(F.col(f"__w_{c}").alias(c) if c in values else F.col(f"`{c}`") for c in spec.columns))
+    wanted = rows.select(*(F.col(c).alias(f"__w_{c}") for c in by), *(F.col(c).cast(layer.base.schema[c].dataType).alias(f"__n_{c}") for c in values))
+    found = layer.view.join(wanted, [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in by]).drop(*(f"__w_{c}" for c in by))
+    _named_twice(found, by, spec.name)
     created = get_or_create(layer, rows, by, **how)
-    base = _without(created.base, merged, spec.pk).unionByName(_stored(layer, merged))
-    events = created.events.unionByName(_event(merged, spec.pk, "update"))
-    return Change(layer.replaced(base), events, created.matched.unionByName(merged.select(spec.pk)))
+    written = _write(layer, found, values, policy)
+    base = created.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_anti")
+    base = base.unionByName(written.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_semi"))
+    return Change(layer.replaced(base), created.events.unionByName(written.events), created.matched.unionByName(written.matched))
 
 
 def three_way_merge(layer: LayeredTable, edits: DataFrame) -> Change:
@@ -194,7 +227,8 @@ def three_way_merge(layer: LayeredTable, edits: DataFrame) -> Change:
     last = edits.groupBy(F.col(spec.pk).alias("__pk")).agg(
         *(F.max_by(F.when(differs(c), F.struct(F.col(f"new.{c}").alias("v"))), F.when(differs(c), F.col("seq"))).alias(f"__e_{c}") for c in columns)
     )
-    rows = layer.rows().join(last, F.col(spec.pk) == F.col("__pk"))
+    rows = layer.view.join(last, F.col(spec.pk) == F.col("__pk"))
+    refuse_source_rows(layer, rows)
     merged = rows.select(
         *(F.when(F.col(f"__e_{c}").isNotNull(), F.col(f"__e_{c}.v")).otherwise(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in spec.columns)
     )

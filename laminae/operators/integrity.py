@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,30 @@ def _constrained(rows: DataFrame, unique: Unique) -> DataFrame:
     return rows.filter(F.expr(unique.condition)) if unique.condition else rows
 
 
-def base_duplicates(layer: LayeredTable, unique: Unique) -> DataFrame:
-    """Values that more than one live base row holds, with their number ``n``."""
+def watched_columns(layer: LayeredTable, unique: Unique) -> list[str]:
+    """The columns of which a change can make a row collide: the constrained ones and those of the condition."""
+    named = set(re.findall(r"\w+", unique.condition or ""))
+    return [c for c in layer.spec.columns if c in unique.columns or c in named]
+
+
+def changed_rows(before: LayeredTable, after: LayeredTable, columns: list[str]) -> DataFrame:
+    """Keys of live base rows that the view did not show before, or not with these values."""
+    pk = after.spec.pk
+    old = before.rows().select(F.col(pk).alias("__old"), *(F.col(c).alias(f"__o_{c}") for c in columns))
+    same = [F.col(pk) == F.col("__old"), *(F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in columns)]
+    return after.live_base().join(old, same, "left_anti").select(pk)
+
+
+def _of(rows: DataFrame, pk: str, keys: DataFrame) -> DataFrame:
+    return rows.join(keys.select(F.col(keys.columns[0]).alias("__c")), F.col(pk) == F.col("__c"), "left_semi")
+
+
+def base_duplicates(layer: LayeredTable, unique: Unique, changed: DataFrame | None = None) -> DataFrame:
+    """Values that more than one live base row (one of ``changed`` keys among them) holds, with their number ``n``."""
     rows = _constrained(layer.live_base(), unique)
+    if changed is not None:
+        values = _of(rows, layer.spec.pk, changed).select(*(F.col(c).alias(f"__v_{c}") for c in unique.columns))
+        rows = rows.join(values, [F.col(c) == F.col(f"__v_{c}") for c in unique.columns], "left_semi")
     return rows.groupBy(*unique.columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -41,7 +64,7 @@ def source_collisions(layer: LayeredTable, unique: Unique, changed: DataFrame |
     pk = layer.spec.pk
     rows = _constrained(layer.live_base(), unique)
     if changed is not None:
-        rows = rows.join(changed.select(F.col(changed.columns[0]).alias("__c")), F.col(pk) == F.col("__c"), "left_semi")
+        rows = _of(rows, pk, changed)
     theirs = _constrained(layer.source_only(), unique).select(F.col(pk).alias("source_pk"), *(F.col(c).alias(f"__s_{c}") for c in unique.columns))
     joined = rows.join(theirs, [F.col(c) == F.col(f"__s_{c}") for c in unique.columns])
     return joined.filter(F.col(pk) != F.col("source_pk")).select(pk, *unique.columns, "source_pk")
@@ -52,9 +75,10 @@ def source_duplicates(rows: DataFrame, unique: Unique) -> DataFrame:
     return _constrained(rows, unique).groupBy(*unique.columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def failed_checks(layer: LayeredTable, condition: str) -> DataFrame:
-    """Live base rows of which a check is false; unknown passes."""
-    return layer.live_base().filter(~F.coalesce(F.expr(condition), F.lit(True)))
+def failed_checks(layer: LayeredTable, condition: str, changed: DataFrame | None = None) -> DataFrame:
+    """Live base rows (those of ``changed`` keys) of which a check is false; unknown passes."""
+    rows = layer.live_base() if changed is None else _of(layer.live_base(), layer.spec.pk, changed)
+    return rows.filter(~F.coalesce(F.expr(condition), F.lit(True)))
 
 
 def validate(layer: LayeredTable, candidates: DataFrame, unique: Unique) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ class LayeredTable:
     spec: LayerSpec
     base: DataFrame
     source_table: DataFrame
+    #: Base rows that hide source rows where ``base`` is only a part of them.
+    hiders: DataFrame | None = None
 
     def __post_init__(self) -> None:
         spec = self.spec
@@ -37,6 +40,14 @@ class LayeredTable:
             if mine != theirs:
                 raise LayerConfigError(f"{spec.name}.{column}: {mine.simpleString()} in the base, {theirs.simpleString()} in the source")
 
+        # Conditions are read against both layers, so they may name the declared columns alone, the key aside.
+        named = self.base.select(*(F.col(f"`{c}`") for c in spec.columns if c != spec.pk))
+        for condition in (u.condition for u in spec.unique if u.condition):
+            try:
+                named.filter(F.expr(condition))
+            except AnalysisException as e:
+                raise LayerConfigError(f"{spec.name}: condition {condition!r}: {str(e).splitlines()[0]}") from e
+
     # -- the two sides
 
     def _mapped(self, rows: DataFrame) -> DataFrame:
@@ -63,7 +74,10 @@ class LayeredTable:
     def _hiding(self) -> DataFrame | None:
         """Keys of the base rows that hide a source row."""
         kind = self.spec.anti_join
-        return None if kind is None else (self.base if kind == "full" else self.tombstones()).select(F.col(self.spec.pk).alias("__hidden"))
+        if kind is None:
+            return None
+        base = self.base if self.hiders is None else self.hiders
+        return (base if kind == "full" else base.filter(DELETED)).select(F.col(self.spec.pk).alias("__hidden"))
 
     def source_only(self) -> DataFrame:
         """Source rows that no base row hides."""
@@ -110,20 +124,31 @@ class LayeredTable:
 
     # -- by key
 
-    def by_pk(self, values: list) -> DataFrame:
-        """Rows of the view with these keys. The predicate is mapped to vendor ids, so it reaches both scans."""
+    def by_pk(self, values: list, partition_values: list | None = None) -> DataFrame:
+        """Rows of the view with these keys. The predicate is mapped to vendor ids, so it reaches both scans.
+
+        ``partition_values`` say in which partitions of the source rows of these keys are, so that no other is read.
+        """
         spec = self.spec
         ids = [-v if spec.strategy.negates_source else v for v in values]
-        narrow = LayeredTable(spec, self.base.filter(F.col(spec.pk).isin(values)), self.source_table.filter(F.col(f"`{spec.source.id_column}`").isin(ids)))
-        return narrow.view
+        theirs = self.source_table.filter(F.col(f"`{spec.source.id_column}`").isin(ids))
+        theirs = theirs if partition_values is None else theirs.filter(self._inside(partition_values))
+        return LayeredTable(spec, self.base.filter(F.col(spec.pk).isin(values)), theirs).view
 
-    def narrowed(self, partition_values: list) -> LayeredTable:
-        """The layer within some partitions of its source: both sides filtered on the declared key."""
+    def _inside(self, partition_values: list) -> Column:
         key = self.spec.source.partition_key
         if key is None:
             raise LayerConfigError(f"{self.spec.name} declares no partition key")
-        inside = F.col(f"`{key}`").isin(partition_values)
-        return LayeredTable(self.spec, self.base.filter(inside), self.source_table.filter(inside))
+        return F.col(f"`{key}`").isin(partition_values)
+
+    def narrowed(self, partition_values: list) -> LayeredTable:
+        """The layer within some partitions of its source.
+
+        Live base rows and source rows are filtered on the declared key. What hides a source row is
+        the whole base: an override that has moved to another partition hides its source row still.
+        """
+        inside = self._inside(partition_values)
+        return LayeredTable(self.spec, self.base.filter(inside), self.source_table.filter(inside), self.base if self.hiders is None else self.hiders)
 
     def view_pk_for(self, source_id: Column) -> Column:
         return view_key(self.spec, source_id)
@@ -150,4 +175,6 @@ class LayeredTable:
 
     def replaced(self, base: DataFrame) -> LayeredTable:
         """The layer with another base."""
+        if self.hiders is not None:
+            raise LayerConfigError(f"{self.spec.name}: a narrowed layer is read, not written")
         return LayeredTable(self.spec, base, self.source_table)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ids import numbered
+
 
 def terms(*order: str) -> list[Column]:
     """Sort terms from names, ``-`` in front for descending."""
@@ -54,14 +56,26 @@ def exists(df: DataFrame) -> DataFrame:
 def distinct_on(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row in ``order`` for each value of ``by``.
 
-    A minimum over (order, row) sums up in each task before the shuffle, which a window would not.
+    A minimum (or, of descending orders, a maximum) over (order, row) sums up in each task before
+    the shuffle, so a value of ``by`` with a third of all rows is one row a task. Orders of mixed
+    direction are turned where the descending ones are integers; otherwise a window is
+    left.
     """
-    if any(o.startswith("-") for o in order):
-        ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*terms(*order))))
-        return ranked.filter("__rn = 1").drop("__rn")
-    rank = [x for o in order for x in (F.col(o).isNull(), F.col(o))]
+    down = [o.startswith("-") for o in order]
+    names = [o.lstrip("-") for o in order]
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    return df.groupBy(*(F.col(b).alias(f"__{b}") for b in by)).agg(F.min_by(row, F.struct(*rank)).alias("__row")).select("__row.*")
+    groups = df.groupBy(*(F.col(b).alias(f"__{b}") for b in by))
+    first = lambda least: groups.agg(least.alias("__row")).select("__row.*")
+    if not any(down) or all(down):
+        rank = F.struct(*(x for n in names for x in (F.col(n).isNull(), F.col(n))))
+        return first(F.max_by(row, rank) if down and down[0] else F.min_by(row, rank))
+    kinds = [df.schema[n].dataType for n in names]
+    turned = ("int", "bigint", "smallint")
+    if all(not d or k.simpleString() in turned for d, k in zip(down, kinds, strict=True)):
+        rank = [x for d, n in zip(down, names, strict=True) for x in ((F.col(n).isNotNull(), F.bitwise_not(n)) if d else (F.col(n).isNull(), F.col(n)))]
+        return first(F.min_by(row, F.struct(*rank)))
+    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*terms(*order))))
+    return ranked.filter("__rn = 1").drop("__rn")
 
 
 def iterate(df: DataFrame, chunk_size: int):
@@ -77,5 +91,5 @@ def iterate(df: DataFrame, chunk_size: int):
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """A global row number. It is one sequence: filter or page first."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*terms(*order))))
+    """A global row number, counted in ranges of the order."""
+    return numbered(df, terms(*order), name)

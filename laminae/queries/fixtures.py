@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.layer import LayeredTable
+from ..sources.snapshots import SnapshotStore
 from ..spec import DELETED, LayerSpec, SourceSpec, Strategy
 
 
@@ -33,6 +35,8 @@ class Fixture:
 
     def layer(self, spark: SparkSession, sf_dir: str) -> LayeredTable:
         rows = plain(spark, sf_dir, self.source)
+        if (sf_dir, self.spec.name) in _PUBLISHED:
+            return LayeredTable(self.spec, _read(spark, _PUBLISHED[sf_dir, self.spec.name]), rows)
         parts = [rows.where(p.where).select(*map(F.expr, self._select(p))) for p in self.populations]
         base = parts[0]
         for part in parts[1:]:
@@ -71,16 +75,38 @@ PROJECTIONS = {
     "orders_dated": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders",
     "lines": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
     "profiles": "SELECT c_custkey AS person_id, concat('bio of ', c_name) AS bio FROM customer WHERE c_custkey % 4 = 0",
+    "staff_rows": "SELECT c_custkey AS staff_id, CAST(floor(c_custkey / 2) AS INTEGER) AS boss, c_name FROM customer",
     "rosters": "SELECT l_orderkey * 10 + l_linenumber AS roster_id, min(l_orderkey) AS order_id, min(l_suppkey) AS member_id FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber",
 }
 
 
+#: What a file's columns are, by session and path: read once, as each look at a footer is a job of its own.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+#: Where ``publish`` has put the bases of a folder's layers.
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _SCHEMAS:
+        _SCHEMAS[at] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[at]).parquet(path)
+
+
 def plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in PROJECTIONS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _read(spark, f"{sf_dir}/{name}.parquet")
     text = PROJECTIONS[name]
     table = text.split(" FROM ")[1].split()[0]
-    return spark.sql(text.replace(f" FROM {table}", " FROM {table}"), table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(text.replace(f" FROM {table}", " FROM {table}"), table=_read(spark, f"{sf_dir}/{table}.parquet"))
+
+
+def publish(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the base of every layer through a snapshot store under ``path``, and read it from there from now on."""
+    for name, fixture in FIXTURES.items():
+        store = SnapshotStore(spark, f"{path}/{name}")
+        store.publish(fixture.layer(spark, sf_dir).base, store.version())
+        _PUBLISHED[sf_dir, name] = store.manifest()["base"]
 
 
 CUSTOMER = ("id", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -190,6 +216,11 @@ _FIXTURES = (
         "profiles",
         (Population("person_id", "person_id % 8 = 0", {"bio": "concat('edited ', bio)"}),),
     ),
+    Fixture(
+        LayerSpec("staff", ("id", "boss", "c_name"), source=SourceSpec("staff_id"), strategy=Strategy.NEGATIVE_BASE_POSITIVE_SOURCE_ID),
+        "staff_rows",
+        (Population("staff_id", "staff_id % 10 = 0", {"c_name": "concat('edited ', c_name)"}), Population("staff_id", "staff_id % 50 = 49", deleted=True)),
+    ),
     Fixture(
         LayerSpec("roster", ("id", "order_id", "member_id"), source=SourceSpec("roster_id"), strategy=Strategy.NEGATIVE_BASE_POSITIVE_SOURCE_ID, overridable=False),
         "rosters",

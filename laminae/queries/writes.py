@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..errors import NotOverridable
 from ..operators import cascade as K
 from ..operators import changes as W
 from ..operators import integrity as I
 from ..operators import swap as S
+from ..operators.batch import Batch
 from ..operators.layer import LayeredTable
 from ..spec import RedundantPolicy, Relation, Unique
 from ..streaming.apply import apply_changes
@@ -49,12 +51,12 @@ def _(c):
 
 @query(
     "insert_with_source_key_overrides",
-    f"""SELECT CASE WHEN id BETWEEN 5 AND 9 THEN 'base' ELSE _overlay_origin END AS _overlay_origin, id, CASE WHEN id BETWEEN 5 AND 9 THEN 'over' ELSE c_name END AS c_name FROM people WHERE id < 100""",
+    f"""SELECT CASE WHEN id BETWEEN 5 AND 9 THEN 'base' ELSE _overlay_origin END AS _overlay_origin, id, CASE WHEN id BETWEEN 5 AND 9 THEN 'over' ELSE c_name END AS c_name FROM people""",
     "people",
 )
 def _(c):
     rows = c.people.source_only().filter("id BETWEEN 5 AND 9").withColumn("c_name", lit("over"))
-    return W.insert(c.people, rows).layer.view.filter("id < 100").select("_overlay_origin", "id", "c_name")
+    return W.insert(c.people, rows).layer.view.select("_overlay_origin", "id", "c_name")
 
 
 @query("insert_partial_row", "SELECT 'only a name' AS c_name, CAST(NULL AS INTEGER) AS c_nationkey, (SELECT max(id) FROM cust_base) + 1 AS id", "cust")
@@ -119,7 +121,7 @@ def _(c):
 def _policy(mode: str, scope: str, ignore: tuple[str, ...] = ()):
     # Setting the nation to 3 and the segment to itself changes only rows of other nations.
     real = "c_nationkey IS DISTINCT FROM 3" if "c_nationkey" not in ignore else "false"
-    skipped = f"NOT ({real})" + (" AND _overlay_origin = 'source'" if scope == "source_only" else "") if mode == "skip" else "false"
+    skipped = f"NOT ({real})" + (" AND _overlay_origin = 'source'" if scope == "source_only" else "") if mode != "materialize" else "false"
     sql = f"""SELECT CASE WHEN c_nationkey < 8 AND NOT ({skipped}) THEN 'base' ELSE _overlay_origin END AS _overlay_origin, id,
     CASE WHEN c_nationkey < 8 AND NOT ({skipped}) THEN 3 ELSE c_nationkey END AS c_nationkey FROM people"""
     name = f"redundant_{mode}_{scope}" + ("_ignoring" if ignore else "")
@@ -129,7 +131,7 @@ def _policy(mode: str, scope: str, ignore: tuple[str, ...] = ()):
         return W.update(c.people, col("c_nationkey") < 8, {"c_nationkey": lit(3)}, RedundantPolicy(mode, scope, ignore)).layer.view.select("_overlay_origin", "id", "c_nationkey")
 
 
-for _mode in ("materialize", "skip"):
+for _mode in ("materialize", "skip", "warn"):
     for _scope in ("source_only", "all"):
         _policy(_mode, _scope)
         _policy(_mode, _scope, ("c_nationkey",))
@@ -216,6 +218,56 @@ def _(c):
     return W.update_or_create(c.people, some, ["c_name"], order_by=["c_name"]).layer.rows().select("id", "c_name", "c_mktsegment")
 
 
+@query("get_or_create_once_for_each_value", "SELECT 'twin' AS c_name, CAST(max(n_nationkey) AS INTEGER) AS c_nationkey, (SELECT min(id) FROM people_base) - 1 AS id FROM nation", "people")
+def _(c):
+    rows = _new(c, 25).withColumn("c_name", lit("twin"))
+    return W.get_or_create(c.people, rows, ["c_name"], order_by=["c_name"]).layer.rows().filter("c_name = 'twin'").select("c_name", "c_nationkey", "id")
+
+
+@query(
+    "update_or_create_of_repeated_rows",
+    "SELECT id, CASE WHEN c_name IN (SELECT c_name FROM people_src WHERE c_nationkey = 3) THEN 24 ELSE c_nationkey END AS c_nationkey FROM people",
+    "people",
+)
+def _(c):
+    names = c.people.mapped_source().filter("c_nationkey = 3").join(c.people.rows().select(col("c_name").alias("seen")), col("c_name") == col("seen"), "left_semi").select("c_name")
+    rows = names.withColumn("c_nationkey", lit(7)).unionByName(names.withColumn("c_nationkey", lit(24)))
+    return W.update_or_create(c.people, rows, ["c_name"]).layer.rows().select("id", "c_nationkey")
+
+
+@query(
+    "update_or_create_follows_the_policy",
+    "SELECT _overlay_origin, id FROM people",
+    "people",
+)
+def _(c):
+    same = c.people.view.filter("_overlay_origin = 'source'").select("c_name", "c_nationkey")
+    return W.update_or_create(c.people, same, ["c_name"], RedundantPolicy("skip")).layer.view.select("_overlay_origin", "id")
+
+
+def _refused(c, error: type, change) -> object:
+    """One row: whether a change raises ``error``."""
+    try:
+        change()
+        outcome = False
+    except error:
+        outcome = True
+    return c.spark.createDataFrame([(outcome,)], "refused boolean")
+
+
+@query("source_rows_that_cannot_be_overridden_are_refused", "SELECT count(*) > 0 AS refused FROM cust_fixed WHERE _overlay_origin = 'source' AND id % 10 <> -2", "cust_fixed")
+def _(c):
+    rows = c.cust_fixed.view.filter("_overlay_origin = 'source' AND id % 10 <> -2").select("c_name", lit("X").alias("c_mktsegment"))
+    return _refused(c, NotOverridable, lambda: W.update_or_create(c.cust_fixed, rows, ["c_name"]))
+
+
+@query("generated_uuids_are_stored", "SELECT count(*) AS n FROM nation")
+def _(c):
+    rows = c.table("nation").select(lit("en").alias("lang"), col("n_name").alias("source"), lit(1).cast(c.docs.base.schema["n_chars"].dataType).alias("n_chars"))
+    change = W.insert(c.docs, rows)
+    return change.layer.live_base().join(change.matched.select(col("id").alias("k")), col("id") == col("k"), "left_semi").agg(n_())
+
+
 _RELATIONS = [Relation("ord", "o_custkey", "people"), Relation("links", "l_orderkey", "ord")]
 
 
@@ -279,6 +331,55 @@ def _(c):
     return I.broken_references(c.ord.rows(), "o_custkey", c.people.rows(), after, "id").select("id")
 
 
+@query(
+    "batch_checks_both_sides_of_a_relation",
+    """SELECT 'ord.o_custkey' AS side, id FROM ord WHERE o_orderpriority LIKE '1%'
+    UNION ALL SELECT 'ord.o_custkey (deleted)', id FROM ord WHERE o_orderpriority NOT LIKE '1%' AND o_custkey IN (SELECT id FROM people WHERE c_nationkey = 4)""",
+    "ord",
+    "people",
+)
+def _(c):
+    work = Batch({"ord": c.ord, "people": c.people}, _RELATIONS[:1])
+    work.apply("people", W.delete, col("c_nationkey") == 4)
+    work.apply("ord", W.update, col("o_orderpriority").startswith("1"), {"o_custkey": lit(40_000_000)})
+    sides = [rows.select(lit(side).alias("side"), "id") for side, rows in work.violations().items()]
+    return sides[0].unionByName(sides[1])
+
+
+@query("batch_leaves_old_danglers_alone", "SELECT id FROM ord WHERE false", "ord")
+def _(c):
+    work = Batch({"ord": c.ord, "people": c.people}, _RELATIONS[:1])
+    work.apply("ord", W.update, col("o_orderstatus") == "F", {"o_totalprice": lit(1.0)})
+    return work.violations()["ord.o_custkey"].select("id")
+
+
+@query("batch_checks_a_relation_to_itself", "SELECT id FROM people WHERE c_nationkey <> 7 AND c_nationkey IN (SELECT id FROM people WHERE c_nationkey = 7 OR c_mktsegment = 'EDITED') AND c_mktsegment <> 'EDITED'", "people")
+def _(c):
+    work = Batch({"people": c.people}, [Relation("people", "c_nationkey", "people")])
+    work.apply("people", W.delete, (col("c_nationkey") == 7) | (col("c_mktsegment") == "EDITED"))
+    return work.violations()["people.c_nationkey (deleted)"].select("id")
+
+
+@query("batch_ignores_old_collisions", "SELECT _overlay_origin, id FROM parts", "parts")
+def _(c):
+    from dataclasses import replace
+
+    spec = replace(c.parts.spec, unique=(Unique(("p_size", "p_brand")),))
+    work = Batch({"parts": LayeredTable(spec, c.parts.base, c.parts.source_table)})
+    work.apply("parts", W.update, col("_overlay_origin") == "base", {"p_retailprice": lit(5.0)})
+    return work.commit()["parts"].view.select("_overlay_origin", "id")
+
+
+@query(
+    "cascade_follows_chains",
+    """SELECT id FROM staff WHERE id NOT IN (SELECT id FROM (WITH RECURSIVE gone(id) AS (SELECT id FROM staff WHERE id = 3 UNION SELECT s.id FROM staff s JOIN gone g ON s.boss = g.id) SELECT id FROM gone))""",
+    "staff",
+)
+def _(c):
+    keys = c.staff.rows().filter("id = 3").select("id")
+    return K.delete_cascade({"staff": c.staff}, [Relation("staff", "boss", "staff")], "staff", keys)["staff"].rows().select("id")
+
+
 @query("unique_within_base", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM people_base WHERE NOT _overlay_deleted GROUP BY 1, 2 HAVING count(*) > 1", "people")
 def _(c):
     return I.base_duplicates(c.people, Unique(("c_nationkey", "c_mktsegment")))
@@ -374,15 +475,21 @@ def _(c):
 
 @query(
     "swap_report",
-    f"""SELECT * FROM (VALUES ('S003', 'error'), ('S004', 'error'), ('S006', 'warning'), ('S008', 'error')) t(code, level)""",
+    f"""SELECT * FROM (
+    SELECT 'S003' AS code, 'error' AS level, count(*) AS n FROM customer a JOIN ({_CANDIDATE}) b USING (c_custkey) WHERE a.c_name IS DISTINCT FROM b.c_name
+    UNION ALL SELECT 'S004', 'error', count(*) FROM customer a JOIN ({_CANDIDATE}) b USING (c_name) WHERE a.c_custkey <> b.c_custkey
+    UNION ALL SELECT 'S006', 'warning', count(*) FROM people_base WHERE id IN (SELECT id FROM people_src) AND id NOT IN (SELECT c_custkey FROM ({_CANDIDATE}))
+    UNION ALL SELECT 'S008', 'error', count(*) FROM (SELECT c_name FROM ({_CANDIDATE}) GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'S009', 'error', count(*) FROM people_base b JOIN ({_CANDIDATE}) s ON s.c_name = b.c_name AND s.c_custkey <> b.id WHERE NOT _overlay_deleted AND s.c_custkey NOT IN (SELECT id FROM people_base)
+    ) WHERE n > 0""",
+    "people",
 )
 def _(c):
     from dataclasses import replace
 
-    spec = replace(c.people.spec, unique=(Unique(("c_name",)),))
-    layer = LayeredTable(spec, c.people.base.filter("c_name NOT LIKE 'Or%'"), c.people.source_table)
+    layer = LayeredTable(replace(c.people.spec, unique=(Unique(("c_name",)),)), c.people.base, c.people.source_table)
     report = S.verify(layer, _candidate(c).source_table, identity=["c_name"])
-    return c.spark.createDataFrame([(f.code, f.level) for f in report.findings if f.code != "S009"], "code string, level string")
+    return c.spark.createDataFrame([(f.code, f.level, f.count) for f in report.findings], "code string, level string, n long")
 
 
 @query("partial_condition_on_both_layers", "SELECT _overlay_origin, id FROM parts WHERE p_size > 25 AND NOT coalesce(p_retailprice < 920, false)", "parts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import changes
 from ..operators.layer import LayeredTable
 from ..sources.snapshots import SnapshotStore
-from ..spec import DELETED, LayerSpec
+from ..spec import DELETED, ORIGIN, LayerSpec
 
 
 def latest(batch: DataFrame, pk: str, seq: str) -> DataFrame:
@@ -24,6 +24,9 @@ def apply_changes(layer: LayeredTable, batch: DataFrame, op: str = "op", seq: st
     keys = last.select(F.col(spec.pk).alias("__changed"))
     kept = layer.base.join(keys, F.col(spec.pk) == F.col("__changed"), "left_anti")
     upserts = last.filter(F.col(op) == "upsert").select(*spec.columns)
+    if not spec.overridable:
+        theirs = layer.source_only().withColumn(ORIGIN, F.lit("source"))
+        changes.refuse_source_rows(layer, theirs.join(upserts.select(F.col(spec.pk).alias("__u")), F.col(spec.pk) == F.col("__u"), "left_semi"))
     stored = upserts.withColumn(DELETED, F.lit(False)) if spec.soft_delete else upserts
     deletes = layer.replaced(kept if spec.soft_delete else layer.base)
     gone = last.filter(F.col(op) == "delete").select(spec.pk)

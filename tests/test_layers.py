@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import time
 import uuid
 import warnings
 from collections import Counter
@@ -14,6 +15,7 @@ from laminae import (
     LayerConfigError,
     LayeredTable,
     LayerSpec,
+    MultipleRows,
     NotOverridable,
     RedundantPolicy,
     RedundantUpdate,
@@ -23,14 +25,13 @@ from laminae import (
     SwapRefused,
     Unique,
 )
-from laminae.functions import ids
 from laminae.functions import predicates as P
 from laminae.operators import aggregate, batch, cascade, changes, integrity, page, swap
 from laminae.operators.relate import filter_forward, filter_m2m, with_children
 from laminae.plans import inspect
 from laminae.sources import graph, tables
-from laminae.sources.snapshots import SnapshotStore, StaleSnapshot
-from laminae.streaming.apply import stream_into
+from laminae.sources.snapshots import SnapshotSet, SnapshotStore, StaleSnapshot
+from laminae.streaming.apply import apply_changes, stream_into
 from pyspark.sql import functions as F
 
 col, lit = F.col, F.lit
@@ -155,7 +156,9 @@ def test_redundant_updates_that_complain(spark, scope):
         changes.update(layer, col("name") == "untouched", same, RedundantPolicy("raise", scope))
     with pytest.warns(RuntimeWarning):
         warned = changes.update(layer, col("name") == "untouched", same, RedundantPolicy("warn", scope))
-    assert rows(warned.events) == Counter([("v12", "materialize")])
+    # To warn is to skip: the row is reported, and not copied into the base.
+    assert warned.count() == 1 and warned.events.isEmpty()
+    assert warned.base.filter("id = 'v12'").isEmpty()
     own_row = lambda: changes.update(layer, col("name") == "organic", same, RedundantPolicy("raise", scope))
     if scope == "all":
         with pytest.raises(RedundantUpdate):
@@ -195,9 +198,95 @@ def test_more_declarations(spark):
     assert len(problems) == 3
 
 
-def test_uuid7_ascends():
-    made = [ids.uuid7() for _ in range(5000)]
-    assert made == sorted(made) and len(set(made)) == 5000 and {u.version for u in made} == {7} and {u.variant for u in made} == {uuid.RFC_4122}
+def test_uuid7_keys_are_stored_as_they_were_returned(spark):
+    layer = world(spark, Strategy.UUID7)
+    new = spark.createDataFrame([(f"n{i}", i) for i in range(40)], "name string, age int").repartition(5)
+    change = changes.insert(layer, new)
+    keys = [uuid.UUID(r[0]) for r in change.matched.collect()]
+    stored = {uuid.UUID(r[0]) for r in change.layer.base_only().filter("name like 'n%' and length(name) < 4").select("id").collect()}
+    assert set(keys) == stored and len(stored) == 40
+    assert {k.version for k in keys} == {7} and {k.variant for k in keys} == {uuid.RFC_4122}
+    # All of a batch have one time, between those before and after it.
+    assert len({k.int >> 80 for k in keys}) == 1 and abs((keys[0].int >> 80) / 1000 - time.time()) < 300
+
+
+def test_numbers_over_many_tasks(spark):
+    data = [(i % 17, i) for i in range(500)] + [(None, -1)]
+    got = page.number_rows(spark.createDataFrame(data, "a long, b long").repartition(9), ["-a", "b"], "n")
+    want = sorted(data, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {r: i + 1 for i, r in enumerate(want)}
+    assert page.number_rows(spark.createDataFrame([], "a long"), ["a"]).collect() == []
+
+
+@pytest.mark.parametrize("order", [["v", "id"], ["-v", "-id"], ["-v", "id"], ["v", "-id"], ["-w", "id"]])
+def test_distinct_on_in_every_direction(spark, order):
+    data = [(i % 3, (i * 7) % 5 if i % 4 else None, f"w{i % 6}", i) for i in range(60)]
+    df = spark.createDataFrame(data, "g long, v long, w string, id long")
+    from pyspark.sql.window import Window
+
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*page.terms(*order)))).filter("rn = 1").drop("rn")
+    assert rows(page.distinct_on(df, ["g"], order)) == rows(ranked)
+
+
+def test_conditions_name_declared_columns(spark):
+    with pytest.raises(LayerConfigError, match="condition"):
+        world(spark, Strategy.UUID4, unique=(Unique(("name",), "nope > 3"),))
+    world(spark, Strategy.UUID4, unique=(Unique(("name",), "age > 3 AND length(name) > 1"),))
+
+
+def test_broadcast_only_what_was_counted(spark, monkeypatch):
+    keys, df = spark.range(50).select(col("id").alias("k")), spark.range(1000)
+    assert "BroadcastHashJoin" in df.sparkSession._jvm.PythonSQLUtils.explainString(P.in_keys(df, "id", keys, small=True)._jdf.queryExecution(), "simple")
+    monkeypatch.setattr(P, "BROADCAST_KEYS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = df.sparkSession._jvm.PythonSQLUtils.explainString(P.in_keys(df, "id", keys, small=True)._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_a_partition_is_read_alone(spark, tmp_path):
+    source = spark.range(400).select("id", (col("id") % 8).cast("int").alias("part"), F.concat(lit("s"), "id").alias("name"))
+    source.write.partitionBy("part").parquet(f"file://{tmp_path}/source")
+    spec = LayerSpec("p", ("id", "name", "part"), source=SourceSpec(partition_key="part"), strategy=Strategy.NEGATIVE_BASE_POSITIVE_SOURCE_ID)
+    base = spark.createDataFrame([(3, "moved", 5, False), (11, "edited", 3, False), (19, "gone", 3, True), (-1, "own", 3, False)], "id long, name string, part int, _overlay_deleted boolean")
+    layer = LayeredTable(spec, base, spark.read.parquet(f"file://{tmp_path}/source"))
+    one = layer.narrowed([3])
+    got = {r["id"]: (r["_overlay_origin"], r["name"]) for r in one.view.collect()}
+    # The override that left the partition hides its source row there still.
+    assert got == {i: ("source", f"s{i}") for i in range(27, 400, 8)} | {11: ("base", "edited"), -1: ("base", "own")}
+    plan = one.view._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters:")[1][:60]
+    assert one.source_table.inputFiles() and all("part=3" in f for f in one.source_table.select("id", F.input_file_name().alias("f")).select("f").distinct().toPandas()["f"])
+    assert {r["name"] for r in layer.by_pk([27, 3], [3]).collect()} == {"s27", "moved"}
+    with pytest.raises(LayerConfigError):
+        changes.delete(one, col("id") == 27)
+
+
+# -- writes that find their rows
+
+
+def test_rows_that_repeat_and_rows_that_cannot_change(spark):
+    layer = world(spark, Strategy.UUID4)
+    new = spark.createDataFrame([("twin", 1), ("twin", 2)], "name string, age int")
+    made = changes.get_or_create(layer, new, ["name"])
+    assert [r["age"] for r in made.layer.rows().filter("name = 'twin'").collect()] == [2]
+    both = changes.update_or_create(made.layer, spark.createDataFrame([("twin", 5), ("twin", 4), ("untouched", 6)], "name string, age int"), ["name"])
+    found = {r["name"]: (r["_overlay_origin"], r["age"]) for r in both.layer.view.collect()}
+    assert found["twin"] == ("base", 5) and found["untouched"] == ("base", 6) and both.layer.rows().count() == made.layer.rows().count()
+    fixed = world(spark, Strategy.UUID4, over=False)
+    with pytest.raises(NotOverridable):
+        changes.update_or_create(fixed, spark.createDataFrame([("untouched", 6)], "name string, age int"), ["name"])
+    edit = fixed.view.filter("name = 'untouched'").select("id", F.struct("age").alias("old"), F.struct(lit(7).alias("age")).alias("new"), lit(1).alias("seq"))
+    with pytest.raises(NotOverridable):
+        changes.three_way_merge(fixed, edit)
+    upsert = fixed.rows().filter("name = 'untouched'").select("*", lit("upsert").alias("op"), lit(1).alias("seq"))
+    with pytest.raises(NotOverridable):
+        apply_changes(fixed, upsert)
+    twice = changes.insert(layer, spark.createDataFrame([("untouched", 1)], "name string, age int")).layer
+    with pytest.raises(MultipleRows):
+        changes.update_or_create(twice, spark.createDataFrame([("untouched", 6)], "name string, age int"), ["name"])
 
 
 # -- integrity and batches
@@ -227,9 +316,9 @@ def test_batch_checks_uniqueness_at_once_and_references_at_commit(spark):
     with pytest.raises(IntegrityViolation, match="foreign key"):
         work.commit()
     work.apply("pet", changes.delete, col("id") == -9)
-    published = {}
-    work.commit(lambda t, layer: published.update({t: layer}))
-    assert set(published) == {"pet"}
+    published = []
+    work.commit(published.append)
+    assert [set(p) for p in published] == [{"pet"}]
     work = batch.Batch(layers, relations)
     work.apply("person", changes.delete, col("name") == "untouched")
     with pytest.raises(IntegrityViolation):
@@ -249,9 +338,52 @@ def test_cascades(spark):
     assert cascade.delete_cascade(layers, loop, "person", keys)["person"].rows().count() == 3
 
 
+def test_only_what_changes_is_checked(spark):
+    layers, relations = people_and_pets(spark)
+    broken = changes.insert(layers["pet"], spark.createDataFrame([(-7, 999)], "id long, owner long")).layer
+    double = changes.insert(layers["person"], spark.createDataFrame([(-8, "organic", 1)], "id long, name string, age int"), verify=False).layer
+    work = batch.Batch({"person": double, "pet": broken}, relations)
+    work.apply("person", changes.update, col("name") == "organic", {"age": lit(5)})
+    work.apply("pet", changes.insert, spark.createDataFrame([(-9, 12)], "id long, owner long"))
+    work.commit()
+    with pytest.raises(IntegrityViolation, match="unique"):
+        work.apply("person", changes.update, col("name") == "untouched", {"name": lit("organic")})
+
+
+def test_cascades_through_long_chains_and_loops(spark):
+    spec = LayerSpec("node", ("id", "up"), strategy=Strategy.NEGATIVE_BASE_POSITIVE_SOURCE_ID)
+    rows_ = [(i, i - 1 if i > 1 else 12) for i in range(1, 13)] + [(100, 101), (101, 100), (102, None)]
+    base = spark.createDataFrame([], "id long, up long, _overlay_deleted boolean")
+    layer = LayeredTable(spec, base, spark.createDataFrame(rows_, "id long, up long"))
+    began = time.perf_counter()
+    after = cascade.delete_cascade({"node": layer}, [Relation("node", "up", "node")], "node", spark.createDataFrame([(1,)], "id long"))
+    assert {r["id"] for r in after["node"].rows().collect()} == {100, 101, 102}
+    assert time.perf_counter() - began < 120
+
+
 # -- snapshots, swaps, streams
 
 
+def test_a_batch_is_published_by_one_manifest(spark, tmp_path):
+    layers, relations = people_and_pets(spark)
+    store = SnapshotSet(spark, f"file://{tmp_path}/set")
+    assert store.publish(layers) == 1
+    read = {n: store.layer(layer.spec, layer.source_table, n) for n, layer in layers.items()}
+    work = batch.Batch(read, relations)
+    work.apply("person", changes.insert, spark.createDataFrame([(-9, "new", 1)], "id long, name string, age int"))
+    work.apply("pet", changes.insert, spark.createDataFrame([(-9, -9)], "id long, owner long"))
+    work.commit(lambda changed: store.publish(changed, 1))
+    assert store.version() == 2 and set(store.manifest()["tables"]) == {"person", "pet"}
+    assert store.layer(layers["pet"].spec, layers["pet"].source_table).rows().filter("id = -9").count() == 1
+    with pytest.raises(StaleSnapshot):
+        store.publish({"pet": layers["pet"]}, 1)
+    # A failure that is not another writer's manifest is not called one.
+    (tmp_path / "plain").write_text("a file where a folder should be")
+    with pytest.raises(Exception) as e:
+        SnapshotSet(spark, f"file://{tmp_path}/plain").swap(0)
+    assert not isinstance(e.value, StaleSnapshot)
+
+
 def test_snapshots_compare_and_swap(spark, tmp_path):
     layer = world(spark, Strategy.UUID4)
     store = SnapshotStore(spark, f"file://{tmp_path}/person")
