@@ -24,6 +24,11 @@ def any_distinct(pairs: Iterable[tuple[Column, Column]]) -> Column:
     return reduce(lambda x, y: x | y, (distinct_from(a, b) for a, b in pairs), F.lit(False))
 
 
+def joined_text(*parts: Column) -> Column:
+    """Parts one after the other, as text; a null is an empty one."""
+    return F.concat_ws("", *(p.cast("string") for p in parts))
+
+
 def lookup(column: Column, kind: str, value) -> Column:
     """A predicate by the name of its lookup; ``exact`` with None is a test for null."""
     if kind == "exact":

@@ -63,7 +63,7 @@ def doomed_keys(layers: dict[str, LayeredTable], relations: list[Relation], tabl
         for name, more in found.items():
             parts = [*doomed.get(name, ()), more]
             doomed[name] = [settled(together(parts).coalesce(8))] if len(parts) > STEPS else parts
-    return {name: together(parts) for name, parts in doomed.items()}
+    return {name: settled(together(parts).coalesce(8)) if len(parts) > 1 else parts[0] for name, parts in doomed.items()}
 
 
 def delete_cascade(layers: dict[str, LayeredTable], relations: list[Relation], table: str, keys: DataFrame) -> dict[str, LayeredTable]:

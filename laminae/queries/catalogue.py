@@ -1,6 +1,6 @@
 """All queries over layered tables."""
 
-from . import reads, suites, writes  # noqa: F401
+from . import reads, suites, upkeep, writes  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -537,7 +537,17 @@ def test_columns_evolve(spark):
     assert named.spec.unique[0].columns == ("title",) and rows(named.view) == rows(layer.view)
     longer = evolve.alter_type(layer, "age", "bigint", layer.source_table.withColumn("age", col("age").cast("bigint")))
     assert dict(longer.view.dtypes)["age"] == "bigint"
-    for refused in (lambda: evolve.add_column(layer, "age", lit(1), wider), lambda: evolve.drop_column(layer, "name"), lambda: evolve.rename_column(layer, "id", "key", wider), lambda: evolve.alter_type(layer, "age", "bigint", layer.source_table)):
+    free = evolve.drop_unique(layer, ("name",))
+    assert free.spec.unique == () and evolve.add_unique(free, Unique(("name",))).spec.unique == layer.spec.unique
+    with pytest.raises(IntegrityViolation):
+        evolve.add_unique(changes.insert(free, spark.createDataFrame([("untouched", 1)], "name string, age int")).layer, Unique(("name",)))
+    checked = evolve.add_check(layer, "age < 1000")
+    assert checked.spec.checks == ("age < 1000",) and evolve.drop_check(checked, "age < 1000").spec.checks == ()
+    with pytest.raises(IntegrityViolation):
+        evolve.add_check(layer, "age < 0")
+    partial = evolve.rename_column(evolve.add_unique(free, Unique(("name",), "age > 5")), "age", "years", layer.source_table.withColumnRenamed("age", "years"))
+    assert partial.spec.unique[0].condition == "years > 5"
+    for refused in (lambda: evolve.drop_unique(free, ("name",)), lambda: evolve.drop_check(free, "age < 1"), lambda: evolve.add_column(layer, "age", lit(1), wider), lambda: evolve.drop_column(layer, "name"), lambda: evolve.rename_column(layer, "id", "key", wider), lambda: evolve.alter_type(layer, "age", "bigint", layer.source_table)):
         with pytest.raises(LayerConfigError):
             refused()
 
