@@ -8,10 +8,11 @@ with nothing. Two documents are linked when 100 * intersection >= percent * unio
    similarity 0.8 shares a band but for a chance of 5e-7.
 2. In every bucket of a band the members are compared with the bucket's least member alone, and the
    linked ones are joined into components. This is linear in the size of a bucket.
-3. Buckets that still hold members of different components are compared pair by pair, so that no
-   link is lost. Pairs are tested in the join, by set sizes and by odd sketches (which prove most
-   pairs below the threshold unlike), and only in their first common band. Large buckets are cut
-   into blocks over many tasks. Members of one component are never compared again.
+3. In buckets that still hold members of different components, those outside the bucket's largest
+   component (the odd ones) are compared with all others, so that no link is lost. Pairs are tested in
+   the join, by set sizes and by odd sketches (which prove most pairs below the threshold unlike),
+   and only in their first common band. Large buckets are cut into a grid over many tasks, for which
+   rows are copied by the root of the bucket's size at most.
 4. What passes is confirmed on the full sets, in both 2 and 3.
 
 Rows of equal sets are one class, so copies are never expanded to pairs. A doc_id is one document:
@@ -41,7 +42,7 @@ from .sketch import BANDS, band_keys, common, fast_sketch, parity_sketch
 
 #: Node numbers from here on stand for classes whose doc_ids are all null.
 NAMELESS = 1 << 62
-#: Members of a bucket that one task compares with the others, and pairs that one copy of a set serves.
+#: A task compares as many pairs of a bucket as so many members make with all, and pairs that one copy of a set serves.
 BLOCK, PAIRS_A_COPY = 512, 1000
 
 
@@ -161,33 +162,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(full.select("a", "b", "ma", "mb"), _confirm(percent), "a long, b long").distinct()
 
 
+def _grid(m: Column, odd: Column) -> tuple[Column, Column]:
+    """``parts`` of a bucket's odd members and ``blocks`` of all its ``m``, a task for each of both.
+
+    A task compares about ``BLOCK`` x m pairs at most. Odd members are copied to every block and all
+    members to every part: m + odd + 2 odd (m / BLOCK) ** 0.5 rows at most, never the square of m.
+    """
+    parts = F.ceil(odd / F.sqrt(m * BLOCK)).cast("int").alias("parts")
+    return parts, F.ceil(F.sqrt(m / BLOCK)).cast("int").alias("blocks")
+
+
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that share a bucket, not a component, and that sizes and odd sketches do not rule out."""
     # A class has a row a band at most, so a node's key is not hot. A hot bucket's rows meet in one partition here (see the README).
     rows = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = mixed.filter("lo <> hi and m > 2").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = durable(rows.join(mixed, "band"))
+    counts = rows.groupBy("band", "label").agg(F.count("*").alias("m"))
+    mixed = counts.groupBy("band").agg(F.sum("m").alias("m"), F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"))
+    mixed = mixed.filter("labels > 1 and m > 2").select("band", F.col("most.label").alias("most"), *_grid(F.col("m"), F.col("m") - F.col("most.m")))
+    rows = durable(rows.join(mixed, "band").withColumn("odd", F.col("label") != F.col("most")).drop("most"))
     # A node has a set for each text of its doc_id; a band row goes with the one it came from.
     wide = sets.select("node", "lo", "n", "parity", "keys").join(rows.select("node", "lo").distinct(), ["node", "lo"], "left_semi")
     rows = rows.join(wide.dropDuplicates(["node", "lo"]), ["node", "lo"])
-    left = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("odd").withColumn("part", own("parts")).withColumn("block", each("blocks")).drop("parts", "blocks", "odd")
+    right = rows.withColumn("block", own("blocks")).withColumn("part", each("parts")).drop("parts", "blocks")
     left = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     here = F.shiftright("l_band", 32).cast("int")
     first_common = F.element_at(F.filter(F.zip_with("l_keys", "r_keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == here
-    # Each unordered pair meets once with the smaller node on the left.
+    # Members of different components are not both of the bucket's largest one; two odd ones meet once with the smaller node on the left.
     on = (
         (F.col("l_band") == F.col("r_band"))
+        & (F.col("l_part") == F.col("r_part"))
         & (F.col("l_block") == F.col("r_block"))
-        & (F.col("l_node") < F.col("r_node"))
+        & (~F.col("r_odd") | (F.col("l_node") < F.col("r_node")))
         & (F.col("l_label") != F.col("r_label"))
         & _size_ok(F.col("l_n"), F.col("r_n"), percent)
         & _parity_ok("l_parity", "r_parity", F.col("l_n") + F.col("r_n"), percent)
         & first_common
     )
-    return left.join(right, on).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
+    return left.join(right, on).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
 
 
 def _node() -> Column:

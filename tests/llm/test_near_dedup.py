@@ -102,6 +102,56 @@ def test_group_without_a_common_centre(spark):
     assert got(near_dedup.near_duplicates(docs, k=1)) == by_hand(rows(docs), 1)
 
 
+def bucket(spark, n_large, n_odd, linked):
+    """One bucket: ``n_large`` nodes of component 0, ``n_odd`` alone; ``linked`` pairs have equal odd sketches."""
+    n = n_large + n_odd
+    parity = random_words(32 * n, 7).view(np.int64).reshape(n, 32)
+    for a, b in linked:
+        parity[b] = parity[a]
+    sets = [(i, 10_000 + i, 100, parity[i].tolist(), [9] + [1000 + 48 * i + j for j in range(47)], b"") for i in range(n)]
+    members = spark.createDataFrame([(i, 10_000 + i, 9 << 32) for i in range(n)], "node long, lo long, band long")
+    labels = spark.createDataFrame([(i, 0) for i in range(n_large)], "node long, component long")
+    return members, labels, spark.createDataFrame(sets, "node long, lo long, n long, parity array<long>, keys array<int>, members binary")
+
+
+def rows_made(df, node):
+    """Output rows of all plan nodes of this name, after ``df`` ran."""
+    plans, made = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == node:
+            made += plan.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return made
+
+
+def test_a_large_component_is_not_copied_for_each_block(spark):
+    pairs = near_dedup._open_pairs(*bucket(spark, 5940, 60, [(3, 5950), (5941, 5999), (7, 8)]), 80)
+    assert sorted(map(tuple, pairs.collect())) == [(3, 5950), (5941, 5999)]
+    # 6,000 members, and 60 odd ones in four blocks; each member in each of 12 blocks would be 72,000.
+    assert 6000 <= rows_made(pairs, "Generate") <= 6000 + 4 * 60
+
+
+@pytest.mark.parametrize(("n_large", "n_odd"), [(0, 300), (30, 270), (150, 150), (290, 10)])
+def test_pairs_of_a_cut_bucket_meet_once(spark, monkeypatch, n_large, n_odd):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    n = n_large + n_odd
+    linked = [(0, n - 1)] + [(i, i + 1) for i in range(1, n - 2, 2)] + [(1, n - 3)]
+    members, labels, sets = bucket(spark, n_large, n_odd, linked)
+    sketches = {}
+    for r in sets.collect():
+        sketches.setdefault(tuple(r["parity"]), []).append(r["node"])
+    large = range(n_large)
+    want = sorted((a, b) for same in sketches.values() for a in same for b in same if a < b and not (a in large and b in large))
+    assert sorted(map(tuple, near_dedup._open_pairs(members, labels, sets, 80).collect())) == want
+
+
 def test_links_by_another_text_of_a_doc_id(spark):
     """Pairs that share only buckets of lesser, unlike members; both ends have a second text in a row of its own."""
     rng = np.random.default_rng(5)
