@@ -50,6 +50,24 @@ def _without(base: DataFrame, keys: DataFrame, pk: str) -> DataFrame:
     return base.join(_keys(keys, pk), F.col(pk) == F.col("__changed"), "left_anti")
 
 
+def _flagged(layer: LayeredTable, where: Column | DataFrame) -> DataFrame:
+    """All rows of the view, with ``__hit``: whether ``where`` selects them."""
+    if isinstance(where, Column):
+        return layer.view.withColumn("__hit", F.coalesce(where, F.lit(False)))
+    key = F.col(where.columns[0])
+    # Text is compared with numbers as a number, so it is made one before repeats are dropped.
+    if layer.spec.strategy.integer and where.dtypes[0][1] == "string":
+        key = key.cast("bigint")
+    keys = where.select(key.alias("__changed")).distinct().withColumn("__in", F.lit(True))
+    return layer.view.join(keys, F.col(layer.spec.pk) == F.col("__changed"), "left").withColumn("__hit", F.col("__in").isNotNull()).drop("__changed", "__in")
+
+
+def _shown_base(layer: LayeredTable, shown: DataFrame) -> DataFrame:
+    """The base of which ``shown`` is the view: its base rows, and all rows of the base that the view never shows."""
+    own = _stored(layer, shown.filter(F.col(ORIGIN) == "base"))
+    return layer.base.filter(F.coalesce(F.col(DELETED), F.lit(True))).unionByName(own) if layer.spec.soft_delete else own
+
+
 def _event(df: DataFrame, pk: str, op: str) -> DataFrame:
     return df.select(pk, F.lit(op).alias("op"))
 
@@ -101,9 +119,8 @@ def update(layer: LayeredTable, where: Column | DataFrame, assign: dict[str, Col
         raise LayerConfigError(f"{spec.name}: unknown columns {sorted(unknown)}")
     view = layer.view
     seen = view.filter(where) if isinstance(where, Column) else view.join(_keys(where, where.columns[0]), F.col(spec.pk) == F.col("__changed"), "left_semi")
-    new = {c: e.cast(layer.base.schema[c].dataType) for c, e in assign.items()}
-    seen = seen.withColumns({f"__n_{c}": e for c, e in new.items()})
-    return _write(layer, seen, list(assign), policy)
+    new = {f"__n_{c}": e.cast(layer.base.schema[c].dataType) for c, e in assign.items()}
+    return _write(layer, seen.withColumns(new), list(assign), policy, _flagged(layer, where).withColumns(new))
 
 
 def refuse_source_rows(layer: LayeredTable, seen: DataFrame) -> None:
@@ -112,14 +129,19 @@ def refuse_source_rows(layer: LayeredTable, seen: DataFrame) -> None:
         raise NotOverridable(f"{layer.spec.name}: {found} are source rows")
 
 
-def _write(layer: LayeredTable, seen: DataFrame, assign: list[str], policy: RedundantPolicy) -> Change:
-    """Write view rows ``seen``, which hold the new value of each column of ``assign`` as ``__n_<column>``."""
+def _write(layer: LayeredTable, seen: DataFrame, assign: list[str], policy: RedundantPolicy, every: DataFrame) -> Change:
+    """Write view rows ``seen``, which hold the new value of each column of ``assign`` as ``__n_<column>``.
+
+    ``every`` are all rows of the view, those of ``seen`` under ``__hit`` with their new values. Where
+    all base rows hide, the next view is ``every`` with those values, and the next base its base rows
+    and the tombstones: one pass, not a join with the keys for each of base, view and what it hides.
+    """
     spec = layer.spec
     compared = [c for c in assign if c not in policy.ignore]
-    seen = seen.withColumn("__real", any_distinct((F.col(c), F.col(f"__n_{c}")) for c in compared))
+    real = any_distinct((F.col(c), F.col(f"__n_{c}")) for c in compared)
     from_source = F.col(ORIGIN) == "source"
     refuse_source_rows(layer, seen)
-    governed = ~F.col("__real") & (from_source if policy.scope == "source_only" else F.lit(True))
+    governed = ~real & (from_source if policy.scope == "source_only" else F.lit(True))
     matched = seen.select(spec.pk)
     if policy.mode in ("warn", "raise"):
         idle = seen.filter(governed).select(spec.pk).limit(5).collect()
@@ -128,11 +150,18 @@ def _write(layer: LayeredTable, seen: DataFrame, assign: list[str], policy: Redu
         if idle:
             warnings.warn(f"{spec.name}: {idle} would not change and are left as they are", RuntimeWarning, stacklevel=3)
     # To warn is to skip, and say so.
-    taken = seen if policy.mode == "materialize" else seen.filter(~governed)
-    result = taken.select(*(F.col(f"__n_{c}").alias(c) if c in assign else F.col(f"`{c}`") for c in spec.columns))
-    base = _without(layer.base, taken.select(spec.pk), spec.pk).unionByName(_stored(layer, result))
+    written = F.lit(True) if policy.mode == "materialize" else ~governed
+    taken = seen.filter(written)
     changed = any_distinct((F.col(c), F.col(f"__n_{c}")) for c in assign)
     events = _event(taken.filter(from_source), spec.pk, "materialize").unionByName(_event(taken.filter(changed), spec.pk, "update"))
+    if spec.anti_join == "full":
+        hit = every.withColumn("__hit", F.col("__hit") & written)
+        values = (F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if c in assign else F.col(f"`{c}`") for c in spec.columns)
+        shown = hit.select(F.when(F.col("__hit"), "base").otherwise(F.col(ORIGIN)).alias(ORIGIN), *values)
+        base = _shown_base(layer, shown)
+        return Change(layer.replaced(base, shown), events, matched)
+    result = taken.select(*(F.col(f"__n_{c}").alias(c) if c in assign else F.col(f"`{c}`") for c in spec.columns))
+    base = _without(layer.base, taken.select(spec.pk), spec.pk).unionByName(_stored(layer, result))
     return Change(layer.replaced(base), events, matched)
 
 
@@ -206,10 +235,12 @@ def update_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], policy
     rows = _once(rows, by)
     values = [c for c in rows.columns if c not in by and c != spec.pk]
     wanted = rows.select(*(F.col(c).alias(f"__w_{c}") for c in by), *(F.col(c).cast(layer.base.schema[c].dataType).alias(f"__n_{c}") for c in values))
-    found = layer.view.join(wanted, [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in by]).drop(*(f"__w_{c}" for c in by))
+    same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in by]
+    found = layer.view.join(wanted, same).drop(*(f"__w_{c}" for c in by))
     _named_twice(found, by, spec.name)
     created = get_or_create(layer, rows, by, **how)
-    written = _write(layer, found, values, policy)
+    every = layer.view.join(wanted.withColumn("__in", F.lit(True)), same, "left").withColumn("__hit", F.col("__in").isNotNull())
+    written = _write(layer, found, values, policy, every)
     base = created.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_anti")
     base = base.unionByName(written.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_semi"))
     return Change(layer.replaced(base), created.events.unionByName(written.events), created.matched.unionByName(written.matched))

@@ -24,6 +24,8 @@ class LayeredTable:
     source_table: DataFrame
     #: Base rows that hide source rows where ``base`` is only a part of them.
     hiders: DataFrame | None = None
+    #: The view, where the change that made ``base`` can say it in fewer joins than ``base`` and source can.
+    shown: DataFrame | None = None
 
     def __post_init__(self) -> None:
         spec = self.spec
@@ -93,7 +95,9 @@ class LayeredTable:
 
     @cached_property
     def view(self) -> DataFrame:
-        """Origin first, then the declared columns. A filter on the origin prunes a whole branch."""
+        """Origin first, then the declared columns. A filter on the origin prunes a whole branch, but of a change not yet published."""
+        if self.shown is not None:
+            return self.shown
         base = self.live_base().withColumn(ORIGIN, F.lit("base"))
         source = self.source_only().withColumn(ORIGIN, F.lit("source"))
         return base.unionByName(source).select(ORIGIN, *(F.col(f"`{c}`") for c in self.spec.columns))
@@ -173,8 +177,8 @@ class LayeredTable:
         changed = [F.when(distinct_from(F.col(f"`{c}`"), F.col(f"`__s_{c}`")), F.lit(c)) for c in spec.columns if c != spec.pk]
         return both.select(spec.pk, F.array_compact(F.array(*changed)).alias("changed"))
 
-    def replaced(self, base: DataFrame) -> LayeredTable:
-        """The layer with another base."""
+    def replaced(self, base: DataFrame, shown: DataFrame | None = None) -> LayeredTable:
+        """The layer with another base, and the view that it makes where that is known."""
         if self.hiders is not None:
             raise LayerConfigError(f"{self.spec.name}: a narrowed layer is read, not written")
-        return LayeredTable(self.spec, base, self.source_table)
+        return LayeredTable(self.spec, base, self.source_table, shown=shown)
