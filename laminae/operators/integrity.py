@@ -56,6 +56,43 @@ def base_duplicates(layer: LayeredTable, unique: Unique, changed: DataFrame | No
     return rows.groupBy(*unique.columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: Pairs of rows that a task makes, and those of one value that stay together.
+TASK_PAIRS, CELL_PAIRS = 1 << 26, 1 << 20
+
+
+def _pairs(own: DataFrame, pk: str, theirs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``own`` (``pk`` and ``columns``) with those of ``theirs`` (``source_pk``, ``columns`` under ``__s_``) of the same values.
+
+    Few values with many rows make as many pairs as the product of their rows, from inputs so small
+    that one task would take them all. So pairs are counted (one number reaches the driver), and
+    dealt to as many tasks as they need. A value with more than ``CELL_PAIRS`` is cut into parts on
+    both sides, and a row is copied once for each part of the other side: with the power 1.5 of its
+    rows. Such values have 2,048 rows or more, so a 2,048th of the rows at most are broadcast.
+    """
+    there = [f"__s_{c}" for c in columns]
+    same = [F.col(c) == F.col(t) for c, t in zip(columns, there, strict=True)]
+    counts = own.groupBy(*columns).agg(F.count("*").alias("__m")).join(theirs.groupBy(*there).agg(F.count("*").alias("__n")), same)
+    pairs = F.col("__m").cast("double") * F.col("__n")
+    total = counts.agg(F.sum(pairs)).first()[0] or 0
+    if total <= TASK_PAIRS:
+        return own.join(theirs, same)
+    spark = own.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / TASK_PAIRS) + 1)
+    side = int(CELL_PAIRS**0.5)
+    parts = [F.ceil(F.col(n) / side).cast("int").alias(name) for n, name in (("__m", "__mine"), ("__n", "__other"))]
+    cut = F.broadcast(counts.filter(pairs > CELL_PAIRS).select(*(F.col(c).alias(f"__v_{c}") for c in columns), *parts))
+
+    def dealt(rows: DataFrame, key: str, names: list[str], part: str, copies: str, at: tuple[str, str]) -> DataFrame:
+        rows = rows.join(cut, [F.col(n) == F.col(f"__v_{c}") for n, c in zip(names, columns, strict=True)], "left")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copies), F.lit(1)) - 1))
+        rows = rows.select(key, *names, F.pmod(F.xxhash64(key), F.coalesce(F.col(part), F.lit(1))).cast("int").alias(at[0]), each.alias(at[1]))
+        return rows.repartition(tasks, *names, *sorted(at))
+
+    mine = dealt(own, pk, columns, "__mine", "__other", ("__i", "__j"))
+    others = dealt(theirs, "source_pk", there, "__other", "__mine", ("__l", "__k"))
+    return mine.join(others, [*same, F.col("__i") == F.col("__k"), F.col("__j") == F.col("__l")]).select(pk, *columns, "source_pk", *there)
+
+
 def source_collisions(layer: LayeredTable, unique: Unique, changed: DataFrame | None = None) -> DataFrame:
     """Live base rows (those of ``changed`` keys) whose values a visible source row of another key holds.
 
@@ -66,7 +103,7 @@ def source_collisions(layer: LayeredTable, unique: Unique, changed: DataFrame |
     if changed is not None:
         rows = _of(rows, pk, changed)
     theirs = _constrained(layer.source_only(), unique).select(F.col(pk).alias("source_pk"), *(F.col(c).alias(f"__s_{c}") for c in unique.columns))
-    joined = rows.join(theirs, [F.col(c) == F.col(f"__s_{c}") for c in unique.columns])
+    joined = _pairs(rows.select(pk, *unique.columns), pk, theirs, list(unique.columns))
     return joined.filter(F.col(pk) != F.col("source_pk")).select(pk, *unique.columns, "source_pk")
 
 

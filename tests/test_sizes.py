@@ -2,8 +2,8 @@
 
 from collections import Counter
 
-from laminae import LayeredTable, LayerSpec, SourceSpec, Strategy
-from laminae.operators import changes
+from laminae import LayeredTable, LayerSpec, SourceSpec, Strategy, Unique
+from laminae.operators import changes, integrity
 from laminae.plans import inspect
 from pyspark.sql import functions as F
 
@@ -46,3 +46,15 @@ def test_an_update_passes_over_the_view_once(spark):
         assert {r["id"]: r["_overlay_origin"] for r in change.layer.view.filter("age = 99").collect()} == {2: "base", 5: "base", -3: "base"}
         kept = before - rows(change.base)
         assert {r[0] for r in kept} == {5, -3} and (7, "unsure", 1, None) in rows(change.base)
+
+
+def test_pairs_of_one_value_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "TASK_PAIRS", 8, raising=False)
+    monkeypatch.setattr(integrity, "CELL_PAIRS", 16, raising=False)
+    layer = people(spark, 200)
+    found = integrity.source_collisions(layer, Unique(("age",), "name <> 'n8'"))
+    own = [r for r in layer.live_base().collect() if r["name"] != "n8"]
+    theirs = [r for r in layer.source_only().collect() if r["name"] != "n8"]
+    assert rows(found) == Counter((a["id"], a["age"], b["id"]) for a in own for b in theirs if a["age"] == b["age"] and a["id"] != b["id"])
+    task = found.groupBy(F.spark_partition_id().alias("task")).count()
+    assert task.agg(F.max("count")).first()[0] < found.count() / 8
