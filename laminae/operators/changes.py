@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IntegrityViolation, LayerConfigError, MultipleRows, NotOverridable, RedundantUpdate
 from ..functions.ids import with_new_keys
-from ..functions.predicates import any_distinct
+from ..functions.predicates import any_distinct, excluded
 from ..spec import DELETED, ORIGIN, RedundantPolicy
 from .layer import LayeredTable
 
@@ -186,7 +186,11 @@ def delete(layer: LayeredTable, where: Column | DataFrame) -> Change:
     view = layer.view
     seen = view.filter(where) if isinstance(where, Column) else view.join(_keys(where, where.columns[0]), F.col(spec.pk) == F.col("__changed"), "left_semi")
     gone = seen.select(*spec.columns)
-    base = _without(layer.base, gone, spec.pk)
+    # Where all base rows hide, what stays of the view is the view that follows.
+    left = None
+    if spec.soft_delete and spec.anti_join == "full":
+        left = view.filter(excluded(where)) if isinstance(where, Column) else view.join(_keys(where, where.columns[0]), F.col(spec.pk) == F.col("__changed"), "left_anti")
+    base = _without(layer.base, gone, spec.pk) if left is None else _shown_base(layer, left)
     if not spec.soft_delete:
         dropped = seen.filter("_overlay_origin = 'base'")
         return Change(layer.replaced(base), _event(dropped, spec.pk, "delete"), seen.select(spec.pk))
@@ -194,7 +198,7 @@ def delete(layer: LayeredTable, where: Column | DataFrame) -> Change:
     marked = gone.join(behind, F.col(spec.pk) == F.col("__changed"), "left_semi")
     dropped = gone.join(behind, F.col(spec.pk) == F.col("__changed"), "left_anti")
     events = _event(marked, spec.pk, "tombstone").unionByName(_event(dropped, spec.pk, "delete"))
-    return Change(layer.replaced(base.unionByName(_stored(layer, marked, True))), events, seen.select(spec.pk))
+    return Change(layer.replaced(base.unionByName(_stored(layer, marked, True)), left), events, seen.select(spec.pk))
 
 
 def reset_to_source(layer: LayeredTable, keys: DataFrame) -> Change:

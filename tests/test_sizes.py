@@ -58,3 +58,13 @@ def test_pairs_of_one_value_are_dealt_to_many_tasks(spark, monkeypatch):
     assert rows(found) == Counter((a["id"], a["age"], b["id"]) for a in own for b in theirs if a["age"] == b["age"] and a["id"] != b["id"])
     task = found.groupBy(F.spark_partition_id().alias("task")).count()
     assert task.agg(F.max("count")).first()[0] < found.count() / 8
+
+
+def test_a_delete_leaves_the_view_but_for_its_rows(spark):
+    layer = people(spark)
+    keys = spark.createDataFrame([(i,) for i in (2, 2, 5, 1, -3, None, 99, 7)], "k long")
+    for where in (keys, col("id").isin(2, 5, 1, -3, 99, 7)):
+        after = changes.delete(layer, where).layer
+        assert joins(after.view) <= 2 + joins(layer.view)
+        assert rows(after.view) == rows(defined(after)) == rows(layer.view.filter("id NOT IN (2, 5, -3)"))
+        assert {r["id"] for r in after.tombstones().collect()} == {2, 5, *range(1, 40, 5)}
