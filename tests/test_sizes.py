@@ -2,8 +2,8 @@
 
 from collections import Counter
 
-from laminae import LayeredTable, LayerSpec, SourceSpec, Strategy, Unique
-from laminae.operators import changes, integrity
+from laminae import LayeredTable, LayerSpec, Relation, SourceSpec, Strategy, Unique
+from laminae.operators import cascade, changes, integrity
 from laminae.plans import inspect
 from pyspark.sql import functions as F
 
@@ -68,3 +68,12 @@ def test_a_delete_leaves_the_view_but_for_its_rows(spark):
         assert joins(after.view) <= 2 + joins(layer.view)
         assert rows(after.view) == rows(defined(after)) == rows(layer.view.filter("id NOT IN (2, 5, -3)"))
         assert {r["id"] for r in after.tombstones().collect()} == {2, 5, *range(1, 40, 5)}
+
+
+def test_cleared_references_pass_over_the_child_once(spark):
+    layer = people(spark)
+    doomed = cascade.delete_cascade({"person": layer}, [Relation("person", "age", "person", on_delete="set_null")], "person", layer.rows().filter("id = 2").select("id"))
+    after = doomed["person"]
+    assert joins(after.view) <= 8
+    assert rows(after.view) == rows(defined(after))
+    assert after.view.filter("age IS NULL").count() == layer.view.filter("age = 2 AND id <> 2").count() > 0
