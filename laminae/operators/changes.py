@@ -79,6 +79,12 @@ def insert(layer: LayeredTable, rows: DataFrame, order_by: list[str] | None = No
     override, or is refused where source rows cannot be overridden. Generated keys are written once,
     so the keys of ``matched`` are those of the layer that follows.
     """
+    keyed = _keyed(layer, rows, order_by, verify)
+    return Change(layer.replaced(layer.base.unionByName(_stored(layer, keyed))), _event(keyed, layer.spec.pk, "insert"), keyed.select(layer.spec.pk))
+
+
+def _keyed(layer: LayeredTable, rows: DataFrame, order_by: list[str] | None = None, verify: bool = True) -> DataFrame:
+    """Rows to insert, verified, with all declared columns and their keys."""
     spec = layer.spec
     if spec.pk not in rows.columns:
         rows = rows.withColumn(spec.pk, F.lit(None).cast(layer.base.schema[spec.pk].dataType))
@@ -95,8 +101,7 @@ def insert(layer: LayeredTable, rows: DataFrame, order_by: list[str] | None = No
             theirs = given.join(_keys(layer.mapped_source(filtered=False), spec.pk), F.col(spec.pk) == F.col("__changed"), "left_semi")
             if found := theirs.select(spec.pk).limit(5).collect():
                 raise NotOverridable(f"{spec.name}: {found} are source rows")
-    keyed = with_new_keys(spec, rows, layer.base, order_by or [c for c in spec.columns if c != spec.pk])
-    return Change(layer.replaced(layer.base.unionByName(_stored(layer, keyed))), _event(keyed, spec.pk, "insert"), keyed.select(spec.pk))
+    return with_new_keys(spec, rows, layer.base, order_by or [c for c in spec.columns if c != spec.pk])
 
 
 def bulk_create(layer: LayeredTable, rows: DataFrame, ignore_conflicts: bool = False, update_conflicts: bool = False, **how) -> Change:
@@ -223,9 +228,12 @@ def _named_twice(seen: DataFrame, columns: list[str], name: str) -> None:
 
 def get_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], **how) -> Change:
     """Insert the rows whose ``by`` values no view row has, once for each; source rows count as present."""
+    return insert(layer, _absent(layer, _once(rows, by), by), **how)
+
+
+def _absent(layer: LayeredTable, rows: DataFrame, by: list[str]) -> DataFrame:
     present = layer.rows().select(*(F.col(c).alias(f"__b_{c}") for c in by))
-    same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by]
-    return insert(layer, _once(rows, by).join(present, same, "left_anti"), **how)
+    return rows.join(present, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by], "left_anti")
 
 
 def update_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], policy: RedundantPolicy | None = None, **how) -> Change:
@@ -242,12 +250,18 @@ def update_or_create(layer: LayeredTable, rows: DataFrame, by: list[str], policy
     same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in by]
     found = layer.view.join(wanted, same).drop(*(f"__w_{c}" for c in by))
     _named_twice(found, by, spec.name)
-    created = get_or_create(layer, rows, by, **how)
+    keyed = _keyed(layer, _absent(layer, rows, by), **how)
     every = layer.view.join(wanted.withColumn("__in", F.lit(True)), same, "left").withColumn("__hit", F.col("__in").isNotNull())
     written = _write(layer, found, values, policy, every)
-    base = created.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_anti")
+    events = _event(keyed, spec.pk, "insert").unionByName(written.events)
+    matched = keyed.select(spec.pk).unionByName(written.matched)
+    if written.layer.shown is not None and spec.pk not in rows.columns:
+        # New keys are no other row's, so the new rows stand beside those written.
+        shown = written.layer.view.unionByName(keyed.withColumn(ORIGIN, F.lit("base")))
+        return Change(layer.replaced(written.base.unionByName(_stored(layer, keyed)), shown), events, matched)
+    base = layer.base.unionByName(_stored(layer, keyed)).join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_anti")
     base = base.unionByName(written.base.join(_keys(written.matched, spec.pk), F.col(spec.pk) == F.col("__changed"), "left_semi"))
-    return Change(layer.replaced(base), created.events.unionByName(written.events), created.matched.unionByName(written.matched))
+    return Change(layer.replaced(base), events, matched)
 
 
 def three_way_merge(layer: LayeredTable, edits: DataFrame) -> Change:

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from laminae import LayeredTable, LayerSpec, Relation, SourceSpec, Strategy, Unique
+from laminae import LayeredTable, LayerSpec, RedundantPolicy, Relation, SourceSpec, Strategy, Unique
 from laminae.operators import cascade, changes, integrity
 from laminae.plans import inspect
 from pyspark.sql import functions as F
@@ -77,3 +77,14 @@ def test_cleared_references_pass_over_the_child_once(spark):
     assert joins(after.view) <= 8
     assert rows(after.view) == rows(defined(after))
     assert after.view.filter("age IS NULL").count() == layer.view.filter("age = 2 AND id <> 2").count() > 0
+
+
+def test_rows_set_and_created_pass_over_the_view_once(spark):
+    layer = people(spark)
+    given = spark.createDataFrame([("n2", 50), ("edited 5", 5), ("own 3", 51), ("n7", 52), ("someone", 53), (None, 54)], "name string, age int")
+    for policy in (None, RedundantPolicy("skip"), RedundantPolicy("skip", "all")):
+        after = changes.update_or_create(layer, given, ["name"], policy, order_by=["age"]).layer
+        assert joins(after.view) <= 2 + joins(layer.view) and joins(after.base) <= 3 + joins(layer.view)
+        assert rows(after.view) == rows(defined(after))
+        ages = {r["name"]: (r["_overlay_origin"], r["age"]) for r in after.view.filter("age >= 50").collect()}
+        assert ages == {"n2": ("base", 50), "own 3": ("base", 51), "n7": ("base", 52), "someone": ("base", 53), None: ("base", 54)}
