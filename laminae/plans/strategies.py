@@ -61,9 +61,17 @@ STAGED: dict[str, Callable[[DataFrame, str, list[DataFrame]], DataFrame]] = {
 
 
 def panel_joined(df: DataFrame, pk: str, keys: DataFrame, buckets: dict[str, Column]) -> DataFrame:
-    """A: the scope's join multiplies rows, so every bucket counts distinct keys."""
-    joined = df.join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(pk) == F.col("__k"))
-    return joined.agg(F.count_distinct(pk).alias("total"), *bucket_counts(buckets, pk))
+    """A: the scope's join multiplies rows, so every bucket counts distinct keys.
+
+    The buckets of a row are the bits of a number, which the join carries in place of their columns;
+    the rows of a key are made one by their bits. A distinct count for each bucket would copy every
+    joined row as often as there are buckets.
+    """
+    bits = sum((F.when(c, F.lit(1 << i).cast("bigint")).otherwise(0) for i, c in enumerate(buckets.values())), F.lit(0).cast("bigint"))
+    rows = df.select(F.col(pk), bits.alias("__bits"))
+    joined = rows.join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(pk) == F.col("__k"))
+    once = joined.groupBy(pk).agg(F.bit_or("__bits").alias("__bits"))
+    return once.agg(F.count("*").alias("total"), *(F.count_if(F.getbit("__bits", F.lit(i)) == 1).alias(n) for i, n in enumerate(buckets)))
 
 
 def panel_semi(df: DataFrame, pk: str, keys: DataFrame, buckets: dict[str, Column]) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 
 from laminae import LayeredTable, LayerSpec, RedundantPolicy, Relation, SourceSpec, Strategy, Unique
 from laminae.operators import cascade, changes, integrity
-from laminae.plans import inspect
+from laminae.plans import inspect, strategies
 from pyspark.sql import functions as F
 
 col, lit = F.col, F.lit
@@ -88,3 +88,12 @@ def test_rows_set_and_created_pass_over_the_view_once(spark):
         assert rows(after.view) == rows(defined(after))
         ages = {r["name"]: (r["_overlay_origin"], r["age"]) for r in after.view.filter("age >= 50").collect()}
         assert ages == {"n2": ("base", 50), "own 3": ("base", 51), "n7": ("base", 52), "someone": ("base", 53), None: ("base", 54)}
+
+
+def test_a_joined_panel_copies_no_row_for_a_bucket(spark):
+    df = spark.createDataFrame([(i, i % 5 if i % 7 else None) for i in range(50)], "id long, v int")
+    keys = spark.createDataFrame([(i % 30,) for i in range(200)] + [(None,)], "k long")
+    buckets = {f"at_{i}": col("v") == i for i in range(5)} | {"low": col("v") < 3, "none": col("v") > 9}
+    found = strategies.panel_joined(df, "id", keys, buckets)
+    assert "Expand" not in inspect.text(found)
+    assert found.first().asDict() == strategies.panel_semi(df, "id", keys, buckets).first().asDict()
